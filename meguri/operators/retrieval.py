@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,8 +79,6 @@ def hybrid(docs: DataFrame, key: str, text: Column, vectors: DataFrame, vector:
 
 def half_to_float(bits: Column) -> Column:
     """IEEE half-precision bit patterns (ints) as floats."""
-    import numpy as np
-    import pandas as pd
 
     def run(x: pd.Series) -> pd.Series:
         return pd.Series(x.to_numpy(np.uint16).view(np.float16).astype(np.float32), index=x.index)

@@ -17,13 +17,15 @@ def points(df: DataFrame, key: str, coordinates: str, prefix: str) -> DataFrame:
     return out.filter(valid(F.col(f"{prefix}_lat"), F.col(f"{prefix}_lng")) & F.col(f"{prefix}_key").isNotNull()).distinct()
 
 
-def cover(discs: DataFrame, prefix: str, radius_m: float, level: int) -> DataFrame:
-    """``discs`` with one row per covering cell range ``[lo, hi]`` of Z-order codes.
+#: Discs wider than this many cells, those beside a pole, are joined by rows of cells instead.
+WIDEST = 64
 
-    The cover is the grid-aligned cells of ``2**level`` grid steps that the
-    disc's bounding box touches; runs of cells that follow each other on the
-    curve are merged into one range. It wraps at the date line and takes the
-    whole turn where the disc holds a pole.
+
+def bounds(discs: DataFrame, prefix: str, radius_m: float, level: int) -> DataFrame:
+    """``discs`` with the first and last cell, of ``2**level`` grid steps, of their bounding boxes: ``x0 x1 y0 y1``.
+
+    The box wraps at the date line (``x`` beyond the turn) and takes the whole
+    turn where the disc holds a pole.
     """
     lat, lng = F.col(f"{prefix}_lat"), F.col(f"{prefix}_lng")
     angle = radius_m / EARTH_M * (1 + 1e-9) + 1e-12
@@ -32,16 +34,16 @@ def cover(discs: DataFrame, prefix: str, radius_m: float, level: int) -> DataFra
     ratio = F.lit(math.sin(angle)) / F.cos(F.radians(lat))
     polar = (F.abs(lat) + dlat >= 90.0) | (ratio >= 1.0)
     dlng = F.when(polar, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))))
-    span = 2 ** (BITS - level)  # cells in one turn
-    top = float(2**BITS)
-    x0 = F.floor((lng - dlng + 180.0) / 360.0 * top / 2**level).cast("long")
-    x1 = F.least(F.floor((lng + dlng + 180.0) / 360.0 * top / 2**level).cast("long"), x0 + span - 1)
-    y0, y1 = F.shiftright(grid_y(lat - dlat), level), F.shiftright(grid_y(lat + dlat), level)
-    cells = F.transform(
-        F.sequence(x0, x1),
-        lambda x: F.transform(F.sequence(F.col("_y0"), F.col("_y1")), lambda y: interleave(F.pmod(x, F.lit(span)), y)),
-    )
-    size = 4**level
+    column = lambda x: F.floor((x + 180.0) / 360.0 * float(2**BITS) / 2**level).cast("long")
+    x0 = column(lng - dlng)
+    x1 = F.least(column(lng + dlng), x0 + 2 ** (BITS - level) - 1)
+    return discs.withColumns({"x0": x0, "x1": x1, "y0": F.shiftright(grid_y(lat - dlat), level), "y1": F.shiftright(grid_y(lat + dlat), level)})
+
+
+def cover(boxes: DataFrame, level: int) -> DataFrame:
+    """``boxes`` with one row per covering cell range ``lo`` to ``hi`` of Z-order codes; runs of cells that follow each other on the curve are one range."""
+    span, size = 2 ** (BITS - level), 4**level
+    cells = F.transform(F.sequence("x0", "x1"), lambda x: F.transform(F.sequence(F.col("y0"), F.col("y1")), lambda y: interleave(F.pmod(x, F.lit(span)), y)))
     runs = F.aggregate(
         F.array_sort(F.array_distinct(F.flatten(cells))),
         F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)"),
@@ -50,8 +52,7 @@ def cover(discs: DataFrame, prefix: str, radius_m: float, level: int) -> DataFra
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), c.alias("b")))),
         ).otherwise(F.concat(acc, F.array(F.struct(c.alias("a"), c.alias("b"))))),
     )
-    out = discs.withColumns({"_y0": y0, "_y1": y1}).withColumn("_run", F.explode(runs))
-    return out.select(*discs.columns, (F.col("_run.a") * size).alias("lo"), ((F.col("_run.b") + 1) * size - 1).alias("hi"))
+    return boxes.withColumn("_run", F.explode(runs)).select("*", (F.col("_run.a") * size).alias("lo"), ((F.col("_run.b") + 1) * size - 1).alias("hi")).drop("_run")
 
 
 def within_distance(left: DataFrame, right: DataFrame, radius_m: float, left_key: str, right_key: str, left_coordinates: str = "coordinates", right_coordinates: str = "coordinates") -> DataFrame:
@@ -65,15 +66,21 @@ def within_distance(left: DataFrame, right: DataFrame, radius_m: float, left_key
     Plan: a range never leaves the parent of its cells, so the join runs on the
     parent's code, an equality that shuffles both sides by place, with the
     range test as its condition; a place that holds much of the data is split by
-    the engine's skew handling. Only then the exact distance is taken.
+    the engine's skew handling. Discs beside a pole, whose box is a whole ring
+    of cells, meet the points of their rows of cells. Only then the exact
+    distance is taken.
     """
     level = level_for(radius_m)
     coarse = 2 * (level + 1)
-    a = points(left, left_key, left_coordinates, "l").withColumn("code", interleave(grid_x(F.col("l_lng")), grid_y(F.col("l_lat"))))
-    b = cover(points(right, right_key, right_coordinates, "r"), "r", radius_m, level)
-    near = a.withColumn("place", F.shiftright("code", coarse)).join(b.withColumn("place", F.shiftright("lo", coarse)), "place").filter("code between lo and hi")
+    a = points(left, left_key, left_coordinates, "l").withColumns({"code": interleave(grid_x(F.col("l_lng")), grid_y(F.col("l_lat"))), "row": F.shiftright(grid_y(F.col("l_lat")), level)})
+    boxes = bounds(points(right, right_key, right_coordinates, "r"), "r", radius_m, level)
+    wide = F.col("x1") - F.col("x0") > WIDEST
+    b = cover(boxes.filter(~wide), level).withColumn("place", F.shiftright("lo", coarse))
+    near = a.withColumn("place", F.shiftright("code", coarse)).join(b, "place").filter("code between lo and hi")
+    ring = a.join(boxes.filter(wide).withColumn("row", F.explode(F.sequence("y0", "y1"))), "row")
+    keep = ["l_key", "l_lat", "l_lng", "r_key", "r_lat", "r_lng"]
     distance = haversine_m(F.col("l_lat"), F.col("l_lng"), F.col("r_lat"), F.col("r_lng"))
-    exact = near.withColumn("distance_m", distance).filter(F.col("distance_m") <= radius_m)
+    exact = near.select(keep).unionByName(ring.select(keep)).withColumn("distance_m", distance).filter(F.col("distance_m") <= radius_m)
     return exact.groupBy(F.col("l_key").alias("left_key"), F.col("r_key").alias("right_key")).agg(F.min("distance_m").alias("distance_m"))
 
 
