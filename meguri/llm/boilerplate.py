@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 from html.parser import HTMLParser
 
+import ahocorasick
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -227,6 +228,52 @@ ACTS = {
     "follow": r"\bfollow us\b|\b(?:our|official) (?:twitter|facebook|instagram|youtube|line)\b|公式(?:sns|twitter|instagram|facebook|youtube)|フォローして|关注(?:我们|官方|公众号)|扫码|팔로우|공식 (?:인스타|페이스북|블로그)",
 }
 ACT = regex.compile("|".join(f"(?:{p})" for p in ACTS.values()), regex.M)
+
+
+def required_literals(parsed) -> set[str] | None:
+    """Literals of which every match of a parsed pattern holds at least one, as long as possible; None if there are none."""
+    choices: list[set[str]] = []
+    run = ""
+    for op, what in [*parsed, (None, None)]:
+        name = str(op)
+        if name == "LITERAL":
+            run += chr(what)
+            continue
+        if run:
+            choices.append({run})
+            run = ""
+        if name == "SUBPATTERN":
+            choices.append(required_literals(what[-1]) or set())
+        elif name == "BRANCH":
+            parts = [required_literals(branch) for branch in what[1]]
+            choices.append(set().union(*parts) if all(parts) else set())
+        elif name in ("MAX_REPEAT", "MIN_REPEAT") and what[0] >= 1:
+            choices.append(required_literals(what[2]) or set())
+    choices = [c for c in choices if c]
+    return max(choices, key=lambda c: min(map(len, c))) if choices else None
+
+
+@lru_cache(maxsize=1)
+def _act_anchors() -> ahocorasick.Automaton | None:
+    """One automaton of the literals that the patterns require: a text with none of them meets no pattern."""
+    literals = [required_literals(re._parser.parse(p)) for p in ACTS.values()]
+    if not all(literals):
+        return None
+    automaton = ahocorasick.Automaton()
+    for literal in set().union(*literals):
+        automaton.add_word(literal, literal)
+    automaton.make_automaton()
+    return automaton
+
+
+def performs_act(low: str) -> bool:
+    """Whether a text (in lower case) performs an act of a website."""
+    anchors = _act_anchors()
+    if anchors is not None and next(anchors.iter(low), None) is None:
+        return False
+    return ACT.search(low) is not None
+
+
 #: Labels of a website's sections, whole items of menus and trails.
 LABELS = frozenset(
     "home top news events event access contact maps map shop eat see stay about faq q&a links sitemap menu search login language english model routes for groups sightseeing food hotels plans "
@@ -241,10 +288,15 @@ SEPARATORS = regex.compile(r"\s*[|｜›»>＞·•/／]\s*|\s{2,}|\s*→\s*")
 FEW_WORDS = 7
 
 
+CJK_RUN = re.compile(r"[\u3041-\u309f\u30a0-\u30ff\u3400-\u9fff\uf900-\ufaff]+")
+WORD = re.compile(r"[^\W_]+")
+
+
 def words_of(text: str) -> int:
     """Words of a text; two CJK characters count as one."""
-    cjk = len(regex.findall(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]", text))
-    return len(regex.findall(r"[\p{L}\p{N}]+", regex.sub(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]+", " ", text))) + (cjk + 1) // 2
+    rest, _ = CJK_RUN.subn(" ", text)
+    cjk = sum(map(len, CJK_RUN.findall(text)))
+    return len(WORD.findall(rest)) + (cjk + 1) // 2
 
 
 def furniture(block: Block) -> bool:
@@ -255,7 +307,7 @@ def furniture(block: Block) -> bool:
     low = text.lower()
     if block.in_furniture or block.link_share > 0.6 and words_of(text) < 40:
         return True
-    if ACT.search(low):
+    if performs_act(low):
         # Running text may name such a thing in passing; furniture does it in few sentences.
         return True
     sentences = len(SENTENCE_ENDS.findall(text))
@@ -294,8 +346,17 @@ def _inline(text: str) -> str:
     return text if re.search(r"</?[A-Za-z][^<>]*>|&(?:#\d+|[A-Za-z]{2,8});", text) else html.escape(text, quote=False)
 
 
+MARKUP = re.compile(r"[<&]")
+
+
 def judged_slots(description: str | None, paragraphs: list[str | None] | None) -> dict[str, bool]:
     """Of each element of a page with visible text, whether it is furniture: the larger part of its rendered text decides."""
+    elements = [] if description is None else [("description", description)]
+    elements += [(str(i), p) for i, p in enumerate(paragraphs if paragraphs is not None else []) if p is not None]
+    if not any(MARKUP.search(text) for _, text in elements):
+        # Without markup the tree is one block an element, and rendering closes up its white space.
+        plain = [(slot, " ".join(text.replace("\x00", "").split())) for slot, text in elements]
+        return {slot: furniture(Block(text, slot, 0.0, False)) for slot, text in plain if text}
     weight: dict[str, list[int]] = {}
     for block in render(page_markup(description, paragraphs)):
         if block.slot is not None:
