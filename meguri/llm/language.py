@@ -10,6 +10,8 @@ piece probabilities come from expected counts over all segmentations
 from __future__ import annotations
 
 import base64
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -67,6 +69,9 @@ class Pieces:
         out = []
         word = np.zeros(len(text), np.uint64)
         for n in range(1, PIECE_BYTES + 1):
+            if n > len(text):
+                out.append(np.full(len(text), -1, np.int32))
+                continue
             # The word of the n bytes that end here: one more byte in front.
             moved = np.zeros(len(text), np.uint64)
             moved[n - 1 :] = text[: len(text) - n + 1]
@@ -82,6 +87,12 @@ class Pieces:
         return out
 
 
+#: The vocabulary's pieces never reach over the edges of these words, so a text's probability is the product of its words'.
+WORDS = re.compile(r" ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+")
+#: Words are cut at so many letters when the model is fitted, not when a text is scored.
+FIT_LETTERS = 24
+
+
 @dataclass
 class LanguageModel:
     """Piece probabilities of each language."""
@@ -90,65 +101,44 @@ class LanguageModel:
     pieces: Pieces
     p: np.ndarray  # (pieces + 1, languages); the last row is zero, for no piece
 
-    def layout(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Texts as a padded matrix of lengths, and the piece rows that end at each of its cells."""
-        lengths = np.array([len(t) for t in texts])
+    def layout(self, words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Words as a padded matrix: their lengths, and for each piece length the piece rows that end at each cell."""
+        lengths = np.array([len(w) for w in words])
         width = int(lengths.max())
-        # Between two texts stand bytes that no piece can reach over: pieces are looked up text by text.
-        flat = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
-        found = self.pieces.find(flat)
+        flat = np.frombuffer(b"".join(words), np.uint8).astype(np.uint64)
         start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         within = np.arange(len(flat)) - np.repeat(start, lengths)
-        cell = np.repeat(np.arange(len(texts)), lengths) * width + within
+        cell = np.repeat(np.arange(len(words)), lengths) * width + within
         none = len(self.p) - 1
         out = []
-        for n, ids in enumerate(found, 1):
-            grid = np.full(len(texts) * width, none, np.int32)
+        for n, ids in enumerate(self.pieces.find(flat), 1):
+            grid = np.full(len(words) * width, none, np.int32)
             ok = (ids >= 0) & (within >= n - 1)
             grid[cell[ok]] = ids[ok]
-            out.append(grid.reshape(len(texts), width))
+            out.append(grid.reshape(len(words), width))
         return lengths, out
 
-    def forward(self, lengths: np.ndarray, grids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log-probability of each text, and the scaled forward values with the logs of their scales."""
-        rows, width = grids[0].shape
-        alpha = np.zeros((width + 1, rows, len(self.languages)))
-        scale = np.zeros((width + 1, rows))
-        alpha[0] = 1.0
-        log_p = np.zeros((rows, len(self.languages)))
-        for i in range(1, width + 1):
-            now = np.zeros((rows, len(self.languages)))
-            for n in range(1, min(PIECE_BYTES, i) + 1):
-                ids = grids[n - 1][:, i - 1]
-                if (ids != len(self.p) - 1).any():
-                    now += alpha[i - n] * np.exp(scale[i - n] - scale[i - 1])[:, None] * self.p[ids]
-            top = now.max(axis=1)
-            top[top <= 0] = 1.0
-            alpha[i] = now / top[:, None]
-            scale[i] = scale[i - 1] + np.log(top)
-            over = lengths == i
-            if over.any():
-                log_p[over] = np.log(np.maximum(alpha[i][over], 1e-300)) + scale[i][over][:, None]
-        return log_p, alpha, scale
-
-    def score(self, texts: list[str]) -> np.ndarray:
-        """Log-probability of each text in each language; zeros for an empty one."""
-        raw = [t.encode("utf-8") for t in texts]
-        out = np.zeros((len(raw), len(self.languages)))
-        order = sorted((i for i, t in enumerate(raw) if t), key=lambda i: len(raw[i]))
+    def buckets(self, words: list[bytes]) -> Iterator[list[int]]:
+        """The numbers of the words in groups of like length and bounded size."""
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
         begin = 0
         while begin < len(order):
+            longest = len(words[order[begin]]) * 5 // 4 + 2
             end = begin + 1
-            while end < len(order) and (end - begin + 1) * len(raw[order[end]]) <= BYTES_AT_ONCE and len(raw[order[end]]) <= len(raw[order[begin]]) * 5 // 4 + 8:
+            while end < len(order) and len(words[order[end]]) <= longest and (end - begin + 1) * len(words[order[end]]) <= BYTES_AT_ONCE:
                 end += 1
-            at = order[begin:end]
-            lengths, grids = self.layout([raw[i] for i in at])
-            out[at] = self.likelihood(lengths, grids)
+            yield order[begin:end]
             begin = end
+
+    def score_words(self, words: list[bytes]) -> np.ndarray:
+        """Log-probability of each word in each language: the forward algorithm over all segmentations."""
+        out = np.zeros((len(words), len(self.languages)))
+        for at in self.buckets(words):
+            out[at] = self.likelihood(*self.layout([words[i] for i in at]))
         return out
 
     def likelihood(self, lengths: np.ndarray, grids: list[np.ndarray]) -> np.ndarray:
-        """As :meth:`forward`, keeping only the last few positions: a ring of the reach of one piece."""
+        """Forward values in a ring of the reach of one piece; their scale is taken out once a turn."""
         rows, width = grids[0].shape
         none = len(self.p) - 1
         ring = np.zeros((PIECE_BYTES, rows, len(self.languages)))
@@ -175,79 +165,84 @@ class LanguageModel:
                 log_scale += np.log(top)
         return out
 
+    def score(self, texts: list[str]) -> np.ndarray:
+        """Log-probability of each text in each language, the sum over its words; zeros for an empty one.
+        Each different word of the texts is scored once."""
+        number: dict[str, int] = {}
+        spelled = [[number.setdefault(w, len(number)) for w in WORDS.findall(t)] for t in texts]
+        known = self.score_words([w.encode("utf-8") for w in number]) if number else np.zeros((0, len(self.languages)))
+        out = np.zeros((len(texts), len(self.languages)))
+        for i, row in enumerate(spelled):
+            if row:
+                out[i] = known[row].sum(axis=0)
+        return out
+
     def label(self, texts: list[str]) -> tuple[list[str | None], list[float]]:
         """The language of each text and a confidence in it; None and 0 where there is no letter."""
         scores = self.score(texts)
-        names: list[str | None] = []
-        confidence: list[float] = []
-        for text, row in zip(texts, scores, strict=True):
-            if not any(ch.isalpha() for ch in text):
-                names.append(None)
-                confidence.append(0.0)
-                continue
-            # The evidence of long texts is damped: neighbouring pieces aren't independent.
-            row = row * min(1.0, EVIDENCE_BYTES / max(1, len(text.encode("utf-8"))))
-            e = np.exp(row - row.max())
-            best = int(row.argmax())
-            names.append(self.languages[best])
-            confidence.append(round(float(e[best] / e.sum()), 6))
-        return names, confidence
+        sizes = np.array([len(t.encode("utf-8")) for t in texts]) if texts else np.zeros(0)
+        # The evidence of long texts is damped: neighbouring words aren't independent.
+        damped = scores * np.minimum(1.0, EVIDENCE_BYTES / np.maximum(1, sizes))[:, None]
+        best = scores.argmax(axis=1) if len(texts) else []
+        e = np.exp(damped - damped.max(axis=1, keepdims=True)) if len(texts) else damped
+        sure = np.round(e.max(axis=1) / e.sum(axis=1), 6) if len(texts) else []
+        lettered = [LETTER.search(t) is not None for t in texts]
+        return [self.languages[k] if ok else None for k, ok in zip(best, lettered, strict=True)], [float(c) if ok else 0.0 for c, ok in zip(sure, lettered, strict=True)]
+
+
+LETTER = re.compile(r"[^\W\d_]")
 
 
 def fit(samples: dict[str, list[str]], vocabulary_path: str = f"{DEFAULT_TOKENIZERS}/{VOCABULARY}") -> LanguageModel:
     """A model from labelled texts. Starts with pieces equally likely by length and re-estimates them from expected counts."""
-    words, lengths = vocabulary(vocabulary_path)
+    pieces_, lengths = vocabulary(vocabulary_path)
     languages = tuple(name for name in LANGUAGES if samples.get(name))
-    every = Pieces.of(words, lengths)
+    if not languages:
+        raise ValueError("no labelled text of any known language to fit on")
+    counted: dict[str, np.ndarray] = {}
+    for k, name in enumerate(languages):
+        for text in samples[name]:
+            for word in WORDS.findall(text):
+                for i in range(0, len(word), FIT_LETTERS):
+                    counted.setdefault(word[i : i + FIT_LETTERS], np.zeros(len(languages)))[k] += 1
+    words, weights = [w.encode("utf-8") for w in counted], np.array(list(counted.values()))
     # Only pieces that occur in the sample are kept, and all single bytes.
-    occurs = np.zeros(len(words), bool)
+    occurs = np.zeros(len(pieces_), bool)
     occurs[lengths == 1] = True
-    for texts in samples.values():
-        for ids in every.find(np.frombuffer("\n".join(texts).encode("utf-8"), np.uint8).astype(np.uint64)):
-            occurs[ids[ids >= 0]] = True
-    words, lengths = words[occurs], lengths[occurs]
-    pieces = Pieces.of(words, lengths)
+    every = Pieces.of(pieces_, lengths)
+    for ids in every.find(np.frombuffer(b"\n".join(words), np.uint8).astype(np.uint64)):
+        occurs[ids[ids >= 0]] = True
+    pieces_, lengths = pieces_[occurs], lengths[occurs]
     start = np.power(0.35, lengths - 1.0)
-    model = LanguageModel(languages, pieces, np.vstack([np.repeat((start / start.sum())[:, None], len(languages), axis=1), np.zeros((1, len(languages)))]))
+    model = LanguageModel(languages, Pieces.of(pieces_, lengths), np.vstack([np.repeat((start / start.sum())[:, None], len(languages), axis=1), np.zeros((1, len(languages)))]))
     for _ in range(ROUNDS):
-        counts = np.full((len(words) + 1, len(languages)), SMOOTHING)
-        for k, name in enumerate(languages):
-            one = LanguageModel((name,), pieces, model.p[:, [k]])
-            counts[:, k] += expected_counts(one, samples[name])
+        counts = expected_counts(model, words, weights) + SMOOTHING
         counts[-1] = 0.0
-        model = LanguageModel(languages, pieces, counts / counts.sum(axis=0))
+        model = LanguageModel(languages, model.pieces, counts / counts.sum(axis=0))
     return model
 
 
-def expected_counts(model: LanguageModel, texts: list[str]) -> np.ndarray:
-    """Expected occurrences of each piece over all segmentations of all texts, for a model of one language."""
-    counts = np.zeros(len(model.p))
-    raw = sorted((t.encode("utf-8") for t in texts if t), key=len)
-    begin = 0
-    while begin < len(raw):
-        end = begin + 1
-        while end < len(raw) and (end - begin + 1) * len(raw[end]) <= BYTES_AT_ONCE:
-            end += 1
-        lengths, grids = model.layout(raw[begin:end])
-        log_p, alpha, scale = model.forward(lengths, grids)
+def expected_counts(model: LanguageModel, words: list[bytes], weights: np.ndarray) -> np.ndarray:
+    """Expected occurrences of each piece in each language, over all segmentations of words that occur so often in each."""
+    counts = np.zeros_like(model.p)
+    for at in model.buckets(words):
+        lengths, grids = model.layout([words[i] for i in at])
         rows, width = grids[0].shape
-        # Backward values beta[i]: the rest of the text from i on, on the scale of the whole.
-        beta = np.zeros((width + PIECE_BYTES + 1, rows))
-        beta[lengths, np.arange(rows)] = 1.0
-        total = log_p[:, 0]
-        back = np.full((width + PIECE_BYTES + 1, rows), -np.inf)
-        back[lengths, np.arange(rows)] = 0.0
+        forward = np.zeros((width + 1, rows, len(model.languages)))
+        forward[0] = 1.0
+        for i in range(1, width + 1):
+            for n in range(1, min(PIECE_BYTES, i) + 1):
+                forward[i] += forward[i - n] * model.p[grids[n - 1][:, i - 1]]
+        total = forward[lengths, np.arange(rows)]
+        share = weights[at] / np.maximum(total, 1e-300)
+        backward = np.zeros((width + 1, rows, len(model.languages)))
+        backward[lengths, np.arange(rows)] = 1.0
         for i in range(width, 0, -1):
             for n in range(1, min(PIECE_BYTES, i) + 1):
                 ids = grids[n - 1][:, i - 1]
-                p = model.p[ids, 0]
-                use = (p > 0) & np.isfinite(back[i])
-                if use.any():
-                    forward = np.log(np.maximum(alpha[i - n, use, 0], 1e-300)) + scale[i - n, use]
-                    through = np.log(p[use]) + back[i, use]
-                    counts += np.bincount(ids[use], np.exp(np.minimum(forward + through - total[use], 0.0)), len(counts))
-                    back[i - n, use] = np.logaddexp(back[i - n, use], through)
-        begin = end
+                through = model.p[ids] * backward[i]
+                np.add.at(counts, ids, forward[i - n] * through * share)
+                backward[i - n] += through
     return counts
 
 
