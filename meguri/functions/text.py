@@ -33,6 +33,33 @@ def _run_tokens(run: Column) -> Column:
     return F.when(run.rlike(rf"^[{CJK}]"), grams).otherwise(word)
 
 
+def token_count(text: Column) -> Column:
+    """The number of :func:`tokens` of a text, without building them: words of two letters or more, and of a CJK run of n letters 2n - 1."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    words = F.regexp_count(low, F.lit("[a-z0-9]{2,}"))
+    letters = F.length(F.regexp_replace(low, f"[^{CJK}]+", ""))
+    return words + 2 * letters - F.regexp_count(low, F.lit(f"[{CJK}]+"))
+
+
+def query_terms(query: str) -> list[str]:
+    """The different :func:`tokens` of a query, in order."""
+    cjk = "\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+    terms: dict[str, None] = {}
+    for run in re.findall(f"[{cjk}]+|[a-z0-9]+", query.lower()):
+        if run[0].isascii():
+            terms |= {run: None} if len(run) > 1 else {}
+        else:
+            for i in range(len(run)):
+                terms |= {run[i]: None} | ({run[i : i + 2]: None} if i + 1 < len(run) else {})
+    return list(terms)
+
+
+def term_count(text: Column, term: str) -> Column:
+    """How often a token stands in a text: a whole word, or a CJK letter or pair at any place."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.regexp_count(low, F.lit(f"(?<![a-z0-9]){term}(?![a-z0-9])" if term.isascii() else f"(?={term})"))
+
+
 def name_similarity(a: Column, b: Column) -> Column:
     """One less the edit distance as a share of the longer text; 0 if either is null or empty."""
     longest = F.greatest(F.length(a), F.length(b))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from meguri.functions.text import tokens
+from meguri.functions.text import query_terms, term_count, token_count, tokens
 
 #: BM25's saturation and length weight, and the constant of reciprocal-rank fusion.
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -23,29 +23,29 @@ def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
 
 def corpus_stats(docs: DataFrame, text: Column) -> DataFrame:
     """One row ``(n_docs, avg_length)``."""
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg(F.size(tokens(text))), F.lit(0.0)).alias("avg_length"))
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg(token_count(text)), F.lit(0.0)).alias("avg_length"))
 
 
 def bm25(docs: DataFrame, key: str, text: Column, query: str, k: int) -> DataFrame:
     """The ``k`` documents that score highest for a query, ``(key, score)``; ties by key.
 
-    Only the query's own terms leave the scan: the postings are filtered before
-    they are counted, so the shuffle holds what can score. The corpus size, the
-    mean length and the document frequencies are one small aggregate.
+    A query's terms are counted in place by native expressions, so nothing is
+    exploded: one pass aggregates corpus size, mean length and document
+    frequencies to a single row, which is broadcast, the other scores and takes
+    the top. For many queries over one corpus, build :func:`postings` instead.
     """
-    spark = docs.sparkSession
-    wanted = spark.range(1).select(F.explode(F.array_distinct(tokens(F.lit(query)))).alias("term"))
-    tokenised = docs.select(F.col(key), tokens(text).alias("toks"))
-    stats = tokenised.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl"))
-    terms = F.array_distinct(tokens(F.lit(query)))
-    hits = tokenised.select(key, F.size("toks").alias("dl"), F.explode(F.filter("toks", lambda t: F.array_contains(terms, t))).alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # The query's terms and the single row of statistics are bounded by the query.
-    scored = hits.join(F.broadcast(wanted.join(df, "term")), "term").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = query_terms(query)
+    tf = [f"tf{i}" for i in range(len(terms))]
+    counted = docs.select(F.col(key), token_count(text).alias("dl"), *[term_count(text, t).alias(c) for c, t in zip(tf, terms, strict=True)])
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(c) > 0).alias(f"df{i}") for i, c in enumerate(tf)])
     norm = (1 - B) + B * (F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0))
-    term = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * norm)
-    return scored.groupBy(key).agg(F.round(F.sum(term), 6).alias("score")).orderBy(F.desc("score"), F.asc(key)).limit(k)
+    score = F.lit(0.0)
+    for i, c in enumerate(tf):
+        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        score = score + idf * (F.col(c) * (K1 + 1)) / (F.col(c) + K1 * norm)
+    found = F.greatest(*[F.col(c) for c in tf], F.lit(0), F.lit(0)) > 0
+    scored = counted.filter(found).crossJoin(F.broadcast(stats))
+    return scored.select(key, F.round(score, 6).alias("score")).orderBy(F.desc("score"), F.asc(key)).limit(k)
 
 
 def dot(a: Column, b: Column) -> Column:

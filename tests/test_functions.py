@@ -24,6 +24,15 @@ def test_tokens(spark, given_text, wanted):
     assert value(spark, text.tokens(F.lit(given_text).cast("string"))) == wanted
 
 
+@pytest.mark.parametrize("t", ["Top10 hotels at 東京駅 a b", "温温温泉 x9 京", "", None, "a-b cc東c"])
+def test_counts_without_tokens(spark, t):
+    made = value(spark, text.tokens(F.lit(t).cast("string")))
+    assert value(spark, text.token_count(F.lit(t).cast("string"))) == len(made)
+    assert text.query_terms(t or "") == list(dict.fromkeys(made))
+    for term in ("東京", "東", "温温", "hotels", "cc", "x9"):
+        assert value(spark, text.term_count(F.lit(t).cast("string"), term)) == made.count(term)
+
+
 def test_name_similarity(spark):
     assert value(spark, text.name_similarity(F.lit("abcd"), F.lit("abce"))) == 0.75
     assert value(spark, text.name_similarity(F.lit(""), F.lit("abce"))) == 0.0
