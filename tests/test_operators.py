@@ -153,3 +153,36 @@ def test_stream_upsert_breaker_and_windows(spark, tmp_path):
     q = upsert.breaker_stream(stream(), "k", "bad", 2).writeStream.format("memory").queryName("fired").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert all(r["run"] == 2 for r in spark.sql("select * from fired").collect())
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_match_decision_against_plain_version(spark):
+    r = random.Random(6)
+    names = ["桜", "桜ホテル", "桜別邸本館東", "桜別邸本館西", "ume inn north", "Ume North", None, "株式会社 桜 別邸・本館東"]
+    rows = [(r.choice(names), r.choice(names), r.choice([None, "075-1", "0751"]), r.choice([None, "0751", "2"])) for _ in range(120)]
+    df = spark.createDataFrame(rows, "a string, b string, p string, q string")
+    import re
+
+    def key(n):
+        n = re.sub(r"株式会社", "", n or "")
+        n = re.sub(r"ホテル|hotel|旅館|ryokan|inn", "", n, flags=re.I)
+        return re.sub(r"[\s　・]", "", n).lower()
+
+    def want(a, b, p, q):
+        p, q = re.sub(r"\D", "", p or ""), re.sub(r"\D", "", q or "")
+        if p and p == q:
+            return "confirmed"
+        x, y = key(a), key(b)
+        s = 1 - edit_distance(x, y) / max(len(x), len(y)) if x and y else 0
+        return "confirmed" if s >= 0.9 else "review" if s >= 0.65 else None
+
+    got = df.withColumn("v", resolve.match_decision(F.col("p"), F.col("q"), F.col("a"), F.col("b"))).collect()
+    assert [x["v"] for x in got] == [want(*row) for row in rows]
