@@ -6,14 +6,16 @@ placeholder rules classify them: what only a machine writes convicts by itself;
 wording that a person could also use (weak rules) convicts only as a message
 that recurs widely, the same in several sources.
 
-One automaton finds the anchor words of all strong rules in a single pass over a
-text; only texts with an anchor meet its patterns. Only the few messages that a
+One automaton finds the literals that the strong rules require, as derived from
+their patterns, in a single pass over a text; a text meets only the rules of which
+it holds one, and those that require none. Only the few messages that a
 weak rule touches are shuffled, pre-aggregated by hash; texts are not.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from functools import lru_cache
 
 import ahocorasick
@@ -24,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meguri.llm.boilerplate import required_literals
+
 # The rules, as regular expressions.
 #: Slots that were never filled, in the syntax of the usual template languages.
 SLOTS = (
@@ -148,50 +152,50 @@ def messages(text: Column) -> Column:
     return F.filter(F.split(text, r"\n+|(?<=[。！？])|(?<=[.!?])\s+"), lambda m: F.length(F.trim(m)) >= 4)
 
 
-#: Literals (in lower case) of which every match of a phrase rule holds one: a text without any needs no pattern.
-ANCHORS = {
-    "filler": (
-        "lorem dolor consectetur blah foo asdf qwerty test sample dummy placeholder follow pending texte texto testo texte párrafo parágrafo paragraph paragraphe paragrafo blindtext platzhalter mustertext beispieltext".split()
-        + ["text here", "description here", "content here", "copy here", "goes here", "title here", "headline here", "message here", "to come", "coming soon", "to be added", "to be written", "text folgt", "text steht", "escreva aqui"]
-        + "サンプル ダミー テスト 仮 例文 あいうえお 入力 記入 挿入 入ります を入れ 填写 输入 添加 填入 插入 放置 示例 占位 测试 样例 待补充 待定 待添加 입력 작성 넣어 들어갑 추가 예시 샘플 더미 견본 임시".split()
-    ),
-    "error": (
-        "found request forbidden error gateway unavailable gone denied http status code erreur fehler errore erro page file resource address document permission authoriz authoris proxy robot human captcha traffic browser session login sign log wrong oops database connect timed timeout mysql sqlstate traceback trace exception notice warning module template fault maintenance loading".split()
-        + "見つかりません 見つけられません 存在しません ございません 削除され 移動し 表示できません urlが 権限 アクセス エラー コード 発生し 接続でき タイムアウト 再読 再度 もう一度 メンテナンス 閲覧できません セッション ロボット 読み込み中".split()
-        + "不存在 找不到 未找到 已删除 被删除 已移动 无法 权限 访问 稍后 错误 錯誤 异常 出错 维护 维護 过期 超时 失效 重新登录 连接 请求 加载中 机器人 真人".split()
-        + "찾을 존재하지 없습니다 삭제 표시할 권한 접근이 잠시 점검 만료 로그인 연결 접속 로봇 불러오는 오류".split()
-        + "seite datei adresse zugriff berechtigung wartungsarbeiten dienst versuchen sitzung geladen introuvable demandée accès autorisation revenir veuillez expiré indisponible chargement droit página acceso permiso servicio sitio inténtelo intentarlo sesión cargando pagina accesso permess servizio sito riprova sessione caricamento acesso permissão autorização serviço tente sessão carregar carregando".split()
-    ),
-    "scripts": "javascript java script スクリプト ジャバスクリプト 脚本 腳本 자바 스크립트 skript cookies".split(),
-}
-#: A character or word of which every unfilled slot holds one.
-SLOT_GATE = r"[{}<>%@\[\]［］【】○●△▲□■◯〇＊]|[（(](?:要|未|[^）)]{0,12}(?:入力|記入|挿入)|null|undefined|none|enter|insert)|&lt;|__|XXX|xxx|××|TODO|FIXME|TBD|TKTK|NaN|#[RNVD]|(?i:undefined|null|[:：]\s*(?:none|nan))"
+def folded(text: str) -> str:
+    """A text in which what a pattern takes for equal regardless of case is equal."""
+    return text.replace("İ", "i").replace("ı", "i").casefold()
+
+
+def anchors_of(pattern: str) -> set[str] | None:
+    """Folded literals of which every match of a rule holds one; None if the rule requires none."""
+    # The parser of the standard library knows neither flags amid a pattern nor classes of scripts.
+    plain_pattern = re.sub(r"\\p\{\w+\}", r"\\w", re.sub(r"\(\?[im]+\)", "", pattern))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", FutureWarning)  # "[[" in a class
+        found = required_literals(re._parser.parse(plain_pattern))
+    return {folded(literal) for literal in found} if found else None
 
 
 class Rules:
-    """The strong rules, behind an automaton that finds every anchor in one pass over a text."""
+    """The strong rules, behind an automaton that finds in one pass over a text every literal that a rule requires.
+
+    The literals are derived from the patterns; a rule that requires none is tried on every text.
+    """
 
     def __init__(self) -> None:
-        self.slot_gate = regex.compile(SLOT_GATE)
-        self.patterns = {name: [regex.compile(p) for p in patterns] for name, patterns in STRONG.items()}
-        groups: dict[str, set[str]] = {}
-        for name, literals in ANCHORS.items():
-            for literal in literals:
-                groups.setdefault(literal, set()).add(name)
+        self.patterns = [(name, regex.compile(p)) for name, patterns in STRONG.items() for p in patterns]
+        self.always: set[int] = set()
+        groups: dict[str, set[int]] = {}
+        for number, pattern in enumerate(p for patterns in STRONG.values() for p in patterns):
+            literals = anchors_of(pattern)
+            if literals is None:
+                self.always.add(number)
+            for literal in literals or ():
+                groups.setdefault(literal, set()).add(number)
         self.anchors = ahocorasick.Automaton()
-        for literal, names in groups.items():
-            self.anchors.add_word(literal, tuple(names))
+        for literal, numbers in groups.items():
+            self.anchors.add_word(literal, tuple(numbers))
         self.anchors.make_automaton()
 
     def rule(self, text: str) -> str | None:
         """The first class of strong rule that a text breaks."""
-        if self.slot_gate.search(text) and any(p.search(text) for p in self.patterns["slot"]):
-            return "slot"
-        near: set[str] = set()
-        for _, names in self.anchors.iter(text.lower()):
-            near.update(names)
-        for name in ("filler", "error", "scripts"):
-            if name in near and any(p.search(text) for p in self.patterns[name]):
+        near = set(self.always)
+        for _, numbers in self.anchors.iter(folded(text)):
+            near.update(numbers)
+        for number in sorted(near):
+            name, pattern = self.patterns[number]
+            if pattern.search(text):
                 return name
         return "filler" if mock_latin(text) else None
 

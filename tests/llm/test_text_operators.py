@@ -317,3 +317,55 @@ def test_recurring_weak_message(spark):
     rows = [(i, f"Ticket {i}: please try again tomorrow", f"s{i % 6}") for i in range(30)] + [(99, "You may try again at the next stall.", "s1")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert {r["doc_key"] for r in residue.find_residue(df).collect()} == set(range(30))
+
+
+def examples(parsed):
+    """Texts written by a parsed pattern, together using every alternative in it."""
+    import re
+
+    c = re._constants
+    slots = []
+    for op, what in parsed:
+        if op is c.LITERAL:
+            slots.append([chr(what)])
+        elif op is c.IN:
+            kind, first = what[0]
+            slots.append(["z" if kind is c.NEGATE else chr(first) if kind is c.LITERAL else chr(first[0]) if kind is c.RANGE else {c.CATEGORY_SPACE: " ", c.CATEGORY_DIGIT: "1"}.get(first, "a")])
+        elif op in (c.NOT_LITERAL, c.ANY):
+            slots.append(["z"])
+        elif op is c.SUBPATTERN:
+            slots.append(examples(what[-1]))
+        elif op is c.BRANCH:
+            slots.append([e for branch in what[1] for e in examples(branch)])
+        elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+            slots.append(([""] if what[0] == 0 else []) + [e * max(1, what[0]) for e in examples(what[2])])
+        elif op is c.ASSERT and what[0] > 0:
+            slots.append(examples(what[1]))
+    return [re.sub(" +", " ", "".join(s[i % len(s)] for s in slots)) for i in range(max(map(len, slots), default=1))]
+
+
+def test_gate_of_the_residue_rules_loses_nothing():
+    import re
+    import warnings
+
+    import regex
+
+    rules = residue._rules()
+    compiled = [(name, regex.compile(p)) for name, patterns in residue.STRONG.items() for p in patterns]
+    ungated = lambda t: next((name for name, p in compiled if p.search(t)), "filler" if residue.mock_latin(t) else None)
+    texts = ["Replace this text with your own.", "Ihr Text hier", "Hier steht Ihr Text.", "This site can't be reached", "Access restricted.", "Site em manutenção", "Site temporariamente indisponível", "Merci de réessayer plus tard.", "Der Server ist derzeit nicht erreichbar.", "(Insert name here)"]
+    assert all(ungated(t) for t in texts)
+    matched = 0
+    for name, patterns in residue.STRONG.items():
+        for p in patterns:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                parsed = re._parser.parse(re.sub(r"\\p\{\w+\}", "漢", re.sub(r"\(\?[im]+\)", "", p)))
+            own = examples(parsed)
+            own += [f"x\n{e} y" for e in own] + [f"漢{e}漢" for e in own]
+            hits = [e for e in own if regex.search(p, e)]
+            assert hits, p
+            matched += len(hits)
+            texts += own + [e.upper() for e in own]
+    assert matched > 1000
+    assert [(t, rules.rule(t)) for t in texts] == [(t, ungated(t)) for t in texts]
