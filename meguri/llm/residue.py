@@ -1,15 +1,16 @@
 """Template residue, filler and error-page text.
 
 Method: numbers, addresses and dates of each sentence or line are masked and
-the normalised messages grouped by hash across the sources. Phrase and
-placeholder rules classify them: what only a machine writes convicts by itself;
-wording that a person could also use (weak rules) convicts only as a message
-that recurs widely, the same in several sources.
+the normalised messages of all documents grouped by hash across the sources.
+Phrase rules and weak rules (wording that a person could also use) classify the
+messages that recur widely, the same in several sources; every document with
+such a message convicts. What only a machine writes convicts a text by itself,
+at any count: placeholder and phrase rules are also run over each whole text.
 
 One automaton finds the literals that the strong rules require, as derived from
 their patterns, in a single pass over a text; a text meets only the rules of which
-it holds one, and those that require none. Only the few messages that a
-weak rule touches are shuffled, pre-aggregated by hash; texts are not.
+it holds one, and those that require none. Hashes of messages are shuffled,
+pre-aggregated by hash, source and document; texts are not.
 """
 
 from __future__ import annotations
@@ -262,23 +263,38 @@ def strong_rule(text: Column) -> Column:
     return F.pandas_udf(_rule_series, T.StringType())(text)
 
 
+def _message_series(messages: pd.Series) -> pd.Series:
+    rules = _rules()
+    return messages.map({m: rules.rule(m) for m in messages.dropna().unique()}).astype(object)
+
+
+def message_rule(message: Column) -> Column:
+    """The first class of strong rule that a masked message breaks, or null: its wording alone counts, each different one of a batch once."""
+    return F.pandas_udf(_message_series, T.StringType())(message)
+
+
 def find_residue(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", min_documents: int = MIN_DOCUMENTS, min_sources: int = MIN_SOURCES) -> DataFrame:
     """``(doc_key, rule)`` of each document whose text is, or contains, residue; ``rule`` names its class.
 
     Null, empty and blank texts are no case; very long texts are searched
     whole; repeated rows count once; a null source is one source of its own;
     further columns do not matter. To leave such documents out, anti-join.
+
+    Two paths: a text that breaks a strong rule, and (``recurring``, where no
+    strong rule names the class) a text with a message that recurs widely and
+    has the wording of residue. Messages are counted over all documents, once
+    in each, and exactly; a key under two sources counts in either.
     """
     t = F.col(f"`{text}`").cast("string")
     rows = df.select(F.col(f"`{key}`").alias("doc_key"), t.alias("text"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("source")).filter(F.col("text").rlike(r"\S"))
-    rows = rows.withColumn("rule", strong_rule(F.col("text")))
-    strong = rows.filter("rule is not null").select("doc_key", "rule")
-    weak = rows.filter(F.col("rule").isNull() & F.col("text").rlike(WEAK)).select("doc_key", "source", F.explode(messages(F.col("text"))).alias("message")).filter(F.col("message").rlike(WEAK))
-    weak = weak.select("doc_key", "source", F.xxhash64(masked(F.col("message"))).alias("hash"))
-    per_source = weak.groupBy("hash", "source").agg(F.approx_count_distinct("doc_key", 0.02).alias("n"))
+    strong = rows.select("doc_key", strong_rule(F.col("text")).alias("rule")).filter("rule is not null")
+    said = rows.select("doc_key", "source", F.explode(F.array_distinct(F.transform(messages(F.col("text")), masked))).alias("message")).withColumn("hash", F.xxhash64("message"))
+    per_source = said.groupBy("hash", "source").agg(F.count_distinct(F.struct("doc_key")).alias("n"))
     recurring = per_source.groupBy("hash").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sources")).filter((F.col("n") >= min_documents) & (F.col("sources") >= min_sources)).select("hash")
-    wide = weak.join(recurring, "hash", "left_semi").select("doc_key", F.lit("recurring").alias("rule"))
-    return strong.unionByName(wide).groupBy("doc_key").agg(F.min("rule").alias("rule"))
+    again = said.join(recurring, "hash", "left_semi")
+    wide = again.filter(F.col("message").rlike(WEAK) | message_rule(F.col("message")).isNotNull()).select("doc_key", F.lit("recurring").alias("rule"))
+    by_text = F.min(F.when(F.col("rule") != "recurring", F.col("rule")))
+    return strong.unionByName(wide).groupBy("doc_key").agg(F.coalesce(by_text, F.lit("recurring")).alias("rule"))
 
 
 def without_residue(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

@@ -369,3 +369,14 @@ def test_gate_of_the_residue_rules_loses_nothing():
             texts += own + [e.upper() for e in own]
     assert matched > 1000
     assert [(t, rules.rule(t)) for t in texts] == [(t, ungated(t)) for t in texts]
+
+
+def test_recurring_messages_are_counted_over_all_documents(spark):
+    weak = [(i, f"Ticket {i}: please try again tomorrow" + ("\n{{x}}" if i < 90 else ""), f"s{i % 6}") for i in range(100)]
+    phrase = [(200 + i, f"Bad - gateway {i}!", f"s{i % 5}") for i in range(20)]  # no weak word, and no phrase in the raw text
+    few = [(300 + i, f"The cup {i} failed.", f"s{i % 5}") for i in range(19)] + [(300, "The cup 0 failed.", "s0")]
+    narrow = [(400 + i, f"The jug {i} failed.", f"s{i % 4}") for i in range(20)]
+    times = [(500 + i, " ".join(f"{h}:{i:02d}" for h in range(8, 22)), f"s{i % 6}") for i in range(30)]
+    df = spark.createDataFrame(weak + phrase + few + narrow + times, "doc_id long, text string, source string")
+    got = {r["doc_key"]: r["rule"] for r in residue.find_residue(df).collect()}
+    assert got == {i: "slot" if i < 90 else "recurring" for i in range(100)} | {200 + i: "recurring" for i in range(20)}
