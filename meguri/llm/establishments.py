@@ -51,6 +51,8 @@ PLACE_WORD = re.compile(r"[一-鿿々〆]+")
 NOT_LETTER = re.compile(r"[^a-z]+")
 #: Metres within which positions of one establishment usually, and at the outside, lie.
 NEAR_M, OFF_M = 150.0, 1500.0
+#: The reading that the host of a site begins with.
+HOST_READING = r"^([a-z]+)\d*\."
 #: An attribute value shared by more pairs than this does not tell establishments apart by itself.
 COMMON = 400
 
@@ -181,60 +183,106 @@ def readings_of(*parsed: DataFrame) -> DataFrame:
     return counted.groupBy("place").agg(F.max_by("reading", F.struct("n", "reading")).alias("learned"))
 
 
-def _cells(near: bool) -> Column:
-    """The grid cell of a record, with its neighbours if ``near``; cells are far wider than NEAR_M."""
-    x, y = F.floor(F.col("lat") / 0.0135), F.floor(F.col("lng") / 0.0135)
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1)) if near else F.array(F.lit(0))
-    cells = F.flatten(F.transform(around, lambda i: F.transform(around, lambda j: F.concat_ws(",", x + i, y + j))))
-    return F.when(F.col("lat").isNotNull(), cells).otherwise(F.expr("cast(array() as array<string>)"))
+def _cells(radius_m: float, degrees: float, near: bool) -> Column:
+    """The grid cell of a record or, if ``near``, all cells that reach into ``radius_m`` around it, at every latitude."""
+    columns = round(360 / degrees)
+    lat, lng = F.col("lat"), F.col("lng") + 180
+    high = radius_m / 111_000
+    beside = F.abs(lat) + high
+    wide = F.when(beside < 89, high / F.cos(F.radians(F.least(beside, F.lit(89.0))))).otherwise(F.lit(180.0))
+    row = lambda v: F.floor(v / degrees)
+    column = lambda v: F.floor(v * columns / 360)
+    if near:
+        rows, across = F.sequence(row(lat - high), row(lat + high)), F.sequence(column(lng - wide), column(lng + wide))
+    else:
+        rows, across = F.array(row(lat)), F.array(column(lng))
+    across = F.array_distinct(F.transform(across, lambda j: F.pmod(j, F.lit(columns))))
+    cells = F.flatten(F.transform(rows, lambda i: F.transform(across, lambda j: F.concat_ws(",", F.lit(f"c{degrees}"), i, j))))
+    return F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), cells).otherwise(F.expr("cast(array() as array<string>)"))
+
 
+def _slips(name: str, near: bool) -> list[Column]:
+    """Keys that two spellings share if one is the other with one or two letters dropped.
 
-def _spellings(place: Column) -> Column:
-    """A place name and, if it has three letters or more, all it leaves with one letter dropped."""
-    drops = F.transform(F.sequence(F.lit(1), F.length(place)), lambda i: F.concat(F.substring(place, F.lit(1), i - 1), F.substring(place, i + 1, F.length(place))))
-    return F.when(place.isNull() | (place == ""), F.expr("cast(array() as array<string>)")).when(F.length(place) >= 3, F.array_distinct(F.concat(F.array(place), drops))).otherwise(F.array(place))
+    The shorter, of length m, is cut into one part more than letters are
+    dropped. At least one part stands whole in the longer: the first where it
+    is, the last at the end, or the middle one moved by one letter.
+    """
+    text, size = F.col(name), F.length(F.col(name))
+    out = []
+    for dropped in (1, 2):
+        for longer in (True, False):
+            side = "l" if longer == near else "r"  # the side with the longer spelling
+            m = size - dropped if longer else size
+            part = F.floor(m / (dropped + 1)).cast("int")
+            last = m - part * dropped
+            parts = [F.substring(text, F.lit(1), part), F.substring(text, size - last + 1, last)]
+            if dropped == 2:
+                parts.append(F.substring(text, part + (2 if longer else 1), part))
+            out += [F.when(m >= 1, F.concat_ws("~", F.lit(f"{side}{dropped}{i}{name}"), m, p)) for i, p in enumerate(parts)]
+    return out
 
 
 def block_keys(parsed: DataFrame, near: bool) -> DataFrame:
-    """``(id, key, broad)``: the keys under which a record meets others.
+    """``(id, key, broad)``: the keys, hashed, under which a record meets others; ``near`` for the left side.
 
-    Broad keys are a phone, site or street alone. Where one is common it is
-    replaced by its narrow forms, which it is always emitted with: joined to the
-    place in either spelling, to the grid cell or to the other of the two. A
-    pair that can be accepted shares one of the narrow forms.
+    The narrow keys are the combinations of what :func:`evidence` credits from
+    which a pair can reach ``ENOUGH - TWIN``:
+
+    * names the same or alike, with a phone, site, street or postal code in
+      common, or with positions near (names the same: not off);
+    * names that say nothing (no spelling that both have), with a phone or site,
+      or two of street, postal code and near positions;
+    * names that differ, with two of phone, site and street, as less does not
+      make up for them.
+
+    So every pair that can be accepted shares a narrow key. Broad keys are a
+    phone, site or street alone.
     """
-    cells = _cells(near)
-    own = _cells(False)
-    names = F.concat(F.transform(_spellings(F.col("place")), lambda s: F.concat(F.lit("n"), s)), F.transform(F.array_compact(F.array("reading", "learned")), lambda s: F.concat(F.lit("r"), s)))
+    c = F.col
+    tag = lambda mark, value: F.concat(F.lit(mark), value)
+    some = lambda *columns: F.array_distinct(F.array_compact(F.array(*columns)))
     cross = lambda a, b: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.concat(x, F.lit("|"), y))))
-    tagged = lambda tag, c: F.when(F.col(c).isNotNull(), F.array(F.concat(F.lit(tag), F.col(c)))).otherwise(F.expr("cast(array() as array<string>)"))
-    broad = F.concat(tagged("p:", "phone"), tagged("s:", "site"), tagged("t:", "street"))
+    phone, site, street, postal = (some(tag(mark, c(name))) for mark, name in (("p:", "phone"), ("s:", "site"), ("t:", "street"), ("z:", "postal")))
+    host = F.regexp_extract("site", HOST_READING, 1)
+    host = F.when(host != "", host)
+    hosts = (host, c("reading")) if near else (c("reading"), host)
+    same = some(tag("n:", c("place")), tag("f:", c("flat")), tag("r:", c("reading")), tag("r:", F.coalesce("reading", "learned")), tag("h:", hosts[0]), tag("i:", hosts[1]))
+    alike = some(tag("k:", c("korean")), *_slips("place", near), *_slips("flat", near))
+    shared = F.concat(phone, site, street, postal)
+    around, off = _cells(NEAR_M, 0.0054, near), _cells(OFF_M, 0.027, near)
+    # The spellings that a record has, as bits, and all that have none of them: such names cannot be compared.
+    own = F.when(c("place").isNotNull(), 2).otherwise(0) + F.when(F.coalesce("reading", "learned").isNotNull(), 1).otherwise(0)
+    profiles = F.array_compact(F.array(*[F.when(own.bitwiseAND(q) == 0, F.concat_ws("/", own, F.lit(q)) if near else F.concat_ws("/", F.lit(q), own)) for q in range(4)]))
     narrow = F.concat(
-        cross(names, cells),
-        cross(tagged("z:", "postal"), names),
-        cross(broad, names),
-        cross(broad, cells if near else own),
-        cross(tagged("p:", "phone"), tagged("s:", "site")),
+        cross(same, F.concat(shared, off)),
+        cross(alike, F.concat(shared, around)),
+        cross(F.concat(phone, site, cross(street, postal), cross(street, around), cross(postal, around)), profiles),
+        cross(phone, site),
+        cross(phone, street),
+        cross(site, street),
     )
-    keyed = F.concat(F.transform(F.array_distinct(broad), lambda k: F.struct(k.alias("key"), F.lit(True).alias("broad"))), F.transform(F.array_distinct(narrow), lambda k: F.struct(k.alias("key"), F.lit(False).alias("broad"))))
-    return parsed.select("id", F.explode(keyed).alias("k")).select("id", "k.key", "k.broad")
+    hashed = lambda keys, broad: F.transform(F.array_distinct(keys), lambda k: F.struct(F.xxhash64(k).alias("key"), F.lit(broad).alias("broad")))
+    return parsed.select("id", F.explode(F.concat(hashed(F.concat(phone, site, street), True), hashed(narrow, False))).alias("k")).select("id", "k.key", "k.broad")
 
 
 def candidates(left: DataFrame, right: DataFrame, common: int = COMMON) -> DataFrame:
     """``(lid, rid, weight)``: pairs that share a key, weighted by the rarity of what they share, pruned per record.
 
-    A pair's weight is the sum over its keys of the log of how few pairs the
-    key makes. Meta-blocking keeps a pair if it weighs at least a third of the
-    heaviest of either of its records.
+    A pair's weight is the sum over its broad keys of the log of how few pairs
+    the key makes; keys that make more than ``common`` give none. Meta-blocking
+    prunes a pair that weighs less than a third of the heaviest of either of its
+    records, but no pair that shares a narrow key: those can be accepted.
     """
-    a, b = block_keys(left, True), block_keys(right, False)
-    sizes = a.groupBy("key", "broad").agg(F.count(F.lit(1)).alias("na")).join(b.groupBy("key", "broad").agg(F.count(F.lit(1)).alias("nb")), ["key", "broad"]).withColumn("pairs", F.col("na") * F.col("nb"))
-    sizes = sizes.filter(~F.col("broad") | (F.col("pairs") <= common)).select("key", "broad", "pairs")
-    met = a.join(sizes, ["key", "broad"]).withColumnRenamed("id", "lid").join(b.withColumnRenamed("id", "rid"), ["key", "broad"])
-    edges = met.groupBy("lid", "rid").agg(F.sum(F.log2(1 + F.lit(1024.0) / F.col("pairs"))).alias("weight"))
+    a, b = block_keys(left, True).withColumnRenamed("id", "lid"), block_keys(right, False).withColumnRenamed("id", "rid")
+    sizes = a.filter("broad").groupBy("key").agg(F.count(F.lit(1)).alias("na")).join(b.filter("broad").groupBy("key").agg(F.count(F.lit(1)).alias("nb")), "key").withColumn("pairs", F.col("na") * F.col("nb"))
+    rare = a.filter("broad").join(sizes.filter(F.col("pairs") <= common).select("key", "pairs"), "key").join(b.filter("broad"), "key")
+    rare = rare.select("lid", "rid", F.log2(1 + F.lit(1024.0) / F.col("pairs")).alias("weight"), F.lit(False).alias("sure"))
+    sure = a.filter("not broad").join(b.filter("not broad"), "key").select("lid", "rid", F.lit(0.0).alias("weight"), F.lit(True).alias("sure"))
+    edges = rare.unionByName(sure).groupBy("lid", "rid").agg(F.sum("weight").alias("weight"), F.max("sure").alias("sure"))
     best_l = edges.groupBy("lid").agg(F.max("weight").alias("ml"))
     best_r = edges.groupBy("rid").agg(F.max("weight").alias("mr"))
-    return edges.join(best_l, "lid").join(best_r, "rid").filter(F.col("weight") * 3 >= F.least("ml", "mr")).select("lid", "rid", "weight")
+    return edges.join(best_l, "lid").join(best_r, "rid").filter(F.col("sure") | (F.col("weight") * 3 >= F.least("ml", "mr"))).select("lid", "rid", "weight")
 
 
 #: What each piece of evidence adds, and the sum from which two records are one establishment.
@@ -261,7 +309,7 @@ def evidence(pairs: DataFrame) -> DataFrame:
     same_place = F.when((c("l_reading") == c("r_reading")) | (c("l_flat") == c("r_flat")), True).otherwise(same_place)
     kinds = F.coalesce(c("l_kind") == c("r_kind"), F.lit(True))
     suffixes = F.coalesce(c("l_suffix") == c("r_suffix"), F.lit(True))
-    site_reading = lambda side: F.regexp_extract(c(f"{side}_site"), r"^([a-z]+)\d*\.", 1)
+    site_reading = lambda side: F.regexp_extract(c(f"{side}_site"), HOST_READING, 1)
     host = F.coalesce((site_reading("l") == c("r_reading")) | (site_reading("r") == c("l_reading")), F.lit(False))
     name = (
         F.when(c("l_annex") != c("r_annex"), F.lit(OTHER_HOUSE))

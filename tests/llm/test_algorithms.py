@@ -1,5 +1,6 @@
 """Groups, survivors and linkage: brute force and awkward rows."""
 
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -172,3 +173,33 @@ def test_a_common_phone_loses_no_pair(spark):
     osm = [(f"o{i}", f"ホテル{place(i)}", None, None, None, near(i * 400 + 50), "075-038-6047", None, None, None, "z") for i in range(60)]
     left, right = establishments.records(spark.createDataFrame(wikidata, W), WIKIDATA), establishments.records(spark.createDataFrame(osm, O), OSM)
     assert {(r["left_id"], r["right_id"]) for r in establishments.link(left, right).collect()} == {(f"w{i}", f"o{i}") for i in range(60)}
+
+
+def parsed(spark, wikidata, osm):
+    left, right = establishments.records(spark.createDataFrame(wikidata, W), WIKIDATA), establishments.records(spark.createDataFrame(osm, O), OSM)
+    learned = establishments.readings_of(left, right)
+    return left.join(learned, "place", "left"), right.join(learned, "place", "left")
+
+
+def missed(left, right):
+    """Pairs that could be accepted, by evidence of all pairs, and those of them that are no candidates."""
+    named = lambda df, p: df.select(*[F.col(n).alias(f"{p}_{n}") for n in df.columns])
+    every = establishments.evidence(named(left, "l").crossJoin(named(right, "r"))).filter(F.col("score") >= establishments.ENOUGH - establishments.TWIN)
+    every = {(r["l_id"], r["r_id"]) for r in every.select("l_id", "r_id").collect()}
+    return every, every - {(r["lid"], r["rid"]) for r in establishments.candidates(left, right).select("lid", "rid").collect()}
+
+
+def test_a_common_phone_loses_no_pair_without_names_or_positions(spark):
+    """A phone, a site and a street shared by all rows, with more pairs than COMMON; every other row has a name, and no row a position."""
+    name = lambda i, w: f"{w}{chr(0x5C71 + i)}{chr(0x6771 + i)}" if i % 2 else None
+    wikidata, osm = [], []
+    for mark, at in ((1, ("075-038-6047", None, None)), (2, (None, "https://chain.example", None)), (3, (None, None, "東1-2-3"))):
+        wikidata += [(f"w{mark}-{i}", name(i, "ホテル"), None, None, None, None, *at, f"{mark}00-{i // 2:04d}", "z") for i in range(50)]
+        osm += [(f"o{mark}-{i}", name(i + 1, "ホテル"), None, None, None, None, *at, f"{mark}00-{i // 2:04d}" if i % 3 else None, "z") for i in range(50)]
+    every, lost = missed(*parsed(spark, wikidata, osm))
+    assert {pair[0][1] for pair in every} == set("123") and not lost
+    # The pair of the review: one phone and one postal code, no name on one side, no position; here of 900 pairs.
+    wikidata = [(f"w{i}", None, None, None, None, None, "075-038-6047", None, None, f"100-{i:04d}", "z") for i in range(30)]
+    osm = [(f"o{i}", name(1, "ホテル"), None, None, None, None, "075-038-6047", None, None, f"100-{i:04d}", "z") for i in range(30)]
+    left, right = (establishments.records(spark.createDataFrame(rows, t), c) for rows, t, c in ((wikidata, W, WIKIDATA), (osm, O, OSM)))
+    assert {(f"w{i}", f"o{i}") for i in range(30)} <= {(r["left_id"], r["right_id"]) for r in establishments.link(left, right).collect()}
