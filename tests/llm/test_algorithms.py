@@ -203,3 +203,34 @@ def test_a_common_phone_loses_no_pair_without_names_or_positions(spark):
     osm = [(f"o{i}", name(1, "ホテル"), None, None, None, None, "075-038-6047", None, None, f"100-{i:04d}", "z") for i in range(30)]
     left, right = (establishments.records(spark.createDataFrame(rows, t), c) for rows, t, c in ((wikidata, W, WIKIDATA), (osm, O, OSM)))
     assert {(f"w{i}", f"o{i}") for i in range(30)} <= {(r["left_id"], r["right_id"]) for r in establishments.link(left, right).collect()}
+
+
+def test_candidates_hold_all_that_evidence_credits(spark):
+    r = random.Random(5)
+    names = ["オーベルジュ楓坂", "オーベルジュ坂", "旅館奥灯森荘", "旅館奥森荘", "旅館灯荘", "ホテル上桐峰", "Kami-kirimine Hotel", "Kami-kirmine Hotel", "Kami-kimine Hotel", "호텔 가미", "グランドホテル", "民宿柚見", None, None, ""]
+    maybe = lambda v: v if r.random() < 0.4 else None
+
+    def row(key):
+        at = maybe({"lat": 35.0 + r.choice((0, 100, 1300, 4000)) / 111_195, "lng": 135.0 + r.choice((0, 100, 1450, 4000)) / 91_085})
+        return (key, r.choice(names), maybe(r.choice(("Kaedezaka Auberge", "Oku-tomoshimori Ryokan", "Kamikirimine"))), None, maybe("호텔 가미"), at, maybe(f"075-038-60{r.randrange(10, 13)}"), maybe(f"https://www.{r.choice(('kamikirimine2', 'kaedezaka', 'a1'))}.example"), maybe(f"東{r.randrange(2)}-2"), maybe(f"100-000{r.randrange(3)}"), "z")
+
+    every, lost = missed(*parsed(spark, [row(f"w{i}") for i in range(250)], [row(f"o{i}") for i in range(250)]))
+    assert len(every) > 1000 and not lost
+    # Alone at their place: a letter or two dropped, in a place of two, in Latin letters, at any point.
+    pairs = [("オーベルジュ楓坂", "オーベルジュ坂"), ("旅館奥灯森荘", "旅館灯荘"), ("Kami-kirimine Hotel", "Ami-kirimine Hotel"), ("Kami-kirimine Hotel", "Kami-kirimin Hotel"), ("Kami-kirimine Hotel", "Kami-kimine Hotel"), ("旅館森荘", "旅館奥灯森荘")]
+    pairs += [(b, a) for a, b in pairs]
+    lone = [(f"{side}{n}", pair[k], None, None, None, near(50_000 * n + 60 * k), None, None, None, f"100-{n:04d}", "z") for n, pair in enumerate(pairs) for k, side in enumerate("wo")]
+    every, lost = missed(*parsed(spark, lone[::2], lone[1::2]))
+    assert len(every) >= 10 and not lost
+
+
+def test_cells_reach_far_enough(spark):
+    r = random.Random(7)
+    rows = [(lat, r.uniform(-180, 180)) for lat in (0.0, 35.0, 60.0, 80.0, 87.9, 89.995, -70.0) for _ in range(4)] + [(35.0, 179.9999), (35.0, -179.9999), (-60.0, 179.999)]
+    moved = [(a, b, max(-90.0, min(90.0, a + d * math.cos(t))), ((b + d * math.sin(t) / max(1e-3, math.cos(math.radians(a))) + 180) % 360) - 180) for a, b in rows for t in (0, 1, 1.57, 2, 3, 4, 4.71, 5) for d in (1490 / 111_195, 140 / 111_195)]
+    df = spark.createDataFrame(moved, "a double, b double, c double, d double")
+    for radius, degrees in ((establishments.NEAR_M, 0.0054), (establishments.OFF_M, 0.027)):
+        from_a = df.withColumns({"lat": F.col("a"), "lng": F.col("b")}).withColumn("around", establishments._cells(radius, degrees, True))
+        both = from_a.withColumns({"lat": F.col("c"), "lng": F.col("d")}).withColumn("own", establishments._cells(radius, degrees, False))
+        close = both.filter(establishments.haversine_m(F.col("a"), F.col("b"), F.col("c"), F.col("d")) <= radius)
+        assert close.count() > 50 and close.filter(~F.arrays_overlap("around", "own")).count() == 0
