@@ -30,11 +30,9 @@ LEAST_SHARE = 0.5
 WINDOW, STEP = {False: 14, True: 8}, {False: 3, True: 2}
 #: Characters of a block of the shift table, and the bits of its hash.
 BLOCK, TABLE_BITS = 3, 18
-#: A window that this many passages share is wording of the test rather than of one passage.
-SHARED_BY = 3
 #: Edits inside a running stretch: characters of the passage left out or changed at one place, characters added at one place.
 SMALL_EDIT, INSERTION = 3, 60
-#: Before a text is compared with a passage, windows found in running order must span this share of the
+#: Before a text is compared with a passage, windows found must span this share of the
 #: passage, and be this share of its windows: both far below what half a passage with small edits gives.
 SPAN_SHARE, WINDOW_SHARE = 0.3, 0.1
 #: Matching pieces shorter than this say nothing.
@@ -137,7 +135,7 @@ class Passages:
     texts: list[str]
     searchers: list[WuManber]
     owners: list[list[list[tuple[int, int]]]]  # of each window of each searcher, the passages and the places it stands at
-    windows: Counter[int]  # of each passage
+    windows: Counter[int]  # of each passage, by place
 
     @classmethod
     def of(cls, items: list[tuple[object, str | None]]) -> Passages:
@@ -148,19 +146,15 @@ class Passages:
         total: Counter[int] = Counter()
         for cjk in (False, True):
             length, step = WINDOW[cjk], STEP[cjk]
-            by: dict[str, dict[int, int]] = {}
+            by: dict[str, list[tuple[int, int]]] = {}
             for n, text in enumerate(texts):
                 if is_cjk(text) == cjk:
                     size = min(length, len(text))
                     for k in [*range(0, len(text) - size, step), len(text) - size] if size == length else []:
-                        by.setdefault(text[k : k + length], {}).setdefault(n, k)
-            # Wording that many passages share does not tell them apart, unless a passage has no other.
-            own = Counter(n for names in by.values() if len(names) <= SHARED_BY for n in names)
-            kept = {w: names if len(names) <= SHARED_BY else {n: k for n, k in names.items() if not own[n]} for w, names in by.items()}
-            windows = [w for w, names in kept.items() if names]
-            searchers.append(WuManber(windows, length))
-            owners.append([sorted(kept[w].items()) for w in windows])
-            total.update(n for w in windows for n in kept[w])
+                        by.setdefault(text[k : k + length], []).append((n, k))
+            searchers.append(WuManber(list(by), length))
+            owners.append([sorted(places) for places in by.values()])
+            total.update(n for places in by.values() for n, _ in places)
         return cls(ids, texts, searchers, owners, total)
 
     def short(self) -> list[int]:
@@ -197,15 +191,9 @@ class Passages:
 
 
 def span(hits: list[tuple[int, int]]) -> int:
-    """The most characters of a passage between two windows of one run: both go on in text and passage, about equally far."""
-    best = first = 0
-    last: tuple[int, int] | None = None
-    for start, place in sorted(hits):
-        if last is None or place < last[1] or abs((start - place) - (last[0] - last[1])) > INSERTION:
-            first = place
-        last = (start, place)
-        best = max(best, place - first)
-    return best
+    """Characters of a passage between its first and last window in a text: no running stretch with these windows spans more."""
+    places = [place for _, place in hits]
+    return max(places) - min(places)
 
 
 def holds(text: str, passage: str, places: list[int]) -> bool:

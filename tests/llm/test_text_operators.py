@@ -268,6 +268,19 @@ def test_leaks(spark):
     assert leakage.find_leaks(corpus.limit(0), items).count() == 0
 
 
+def test_leaks_of_passages_that_share_their_wording(spark):
+    body = "The ferry from the old harbour to the island of the lighthouse keeper leaves after the second bell, and whoever comes late must ask the {} to row them over before the tide turns at the northern pier."
+    half = "Count the steps from the gate of the upper shrine to the bridge where the market is held in autumn."
+    variants = [(i, body.format(w)) for i, w in enumerate(("miller", "baker", "smith", "priest", "teacher"))]
+    ends = [(10 + i, half + tail) for i, tail in enumerate(("Name three colours of the lanterns seen by guests.", "Why did the carpenters refuse to work in winter?", "Which tea is poured for those who arrive by boat?", "How long does a letter take to reach the capital?"))]
+    twice = "pass the red gate and turn left; " * 3
+    items = spark.createDataFrame([*variants, *ends, (20, twice)], "item_id long, text string")
+    corpus = spark.createDataFrame([(1, f"Before. {variants[0][1]} After."), (2, f"Before. {half} After."), (3, f"Before. {twice} After."), (4, "Count the steps from the gate.")], "doc_id long, text string")
+    got = {tuple(r) for r in leakage.find_leaks(corpus, items).collect()}
+    assert got == {(d, i) for d, t in ((1, variants[0][1]), (2, half), (3, twice)) for i, p in [*variants, *ends, (20, twice)] if leakage.longest_stretch(leakage.normal(t), leakage.normal(p), [0]) >= 0.5 * len(leakage.normal(p))}
+    assert {(1, 0), (2, 10), (2, 11), (2, 12), (2, 13), (3, 20)} <= got
+
+
 # Residue ------------------------------------------------------------------------------------------
 
 
