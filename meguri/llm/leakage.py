@@ -30,9 +30,12 @@ LEAST_SHARE = 0.5
 WINDOW, STEP = {False: 14, True: 8}, {False: 3, True: 2}
 #: Characters of a block of the shift table, and the bits of its hash.
 BLOCK, TABLE_BITS = 3, 18
+#: A window that more passages share than this is wording of the test rather than of one passage: by it alone a
+#: text is leaked only with an unedited half of a passage.
+SHARED_BY = 3
 #: Edits inside a running stretch: characters of the passage left out or changed at one place, characters added at one place.
 SMALL_EDIT, INSERTION = 3, 60
-#: Before a text is compared with a passage, windows found must span this share of the
+#: Before a text is compared with a passage, windows found in running order must span this share of the
 #: passage, and be this share of its windows: both far below what half a passage with small edits gives.
 SPAN_SHARE, WINDOW_SHARE = 0.3, 0.1
 #: Matching pieces shorter than this say nothing.
@@ -135,27 +138,35 @@ class Passages:
     texts: list[str]
     searchers: list[WuManber]
     owners: list[list[list[tuple[int, int]]]]  # of each window of each searcher, the passages and the places it stands at
-    windows: Counter[int]  # of each passage, by place
+    everyone: list[list[list[tuple[int, int]]]]  # the same with shared windows and repeated places
+    windows: Counter[int]  # of each passage
 
     @classmethod
     def of(cls, items: list[tuple[object, str | None]]) -> Passages:
         pairs = [(i, normal(t)) for i, t in items if t]
         pairs = [(i, t) for i, t in pairs if t]
         ids, texts = [i for i, _ in pairs], [t for _, t in pairs]
-        searchers, owners = [], []
+        searchers, owners, everyone = [], [], []
         total: Counter[int] = Counter()
         for cjk in (False, True):
             length, step = WINDOW[cjk], STEP[cjk]
-            by: dict[str, list[tuple[int, int]]] = {}
+            by: dict[str, dict[int, int]] = {}
+            all_places: dict[str, list[tuple[int, int]]] = {}
             for n, text in enumerate(texts):
                 if is_cjk(text) == cjk:
                     size = min(length, len(text))
                     for k in [*range(0, len(text) - size, step), len(text) - size] if size == length else []:
-                        by.setdefault(text[k : k + length], []).append((n, k))
-            searchers.append(WuManber(list(by), length))
-            owners.append([sorted(places) for places in by.values()])
-            total.update(n for places in by.values() for n, _ in places)
-        return cls(ids, texts, searchers, owners, total)
+                        by.setdefault(text[k : k + length], {}).setdefault(n, k)
+                        all_places.setdefault(text[k : k + length], []).append((n, k))
+            # Wording that many passages share does not tell them apart, unless a passage has no other.
+            own = Counter(n for names in by.values() if len(names) <= SHARED_BY for n in names)
+            kept = {w: names if len(names) <= SHARED_BY else {n: k for n, k in names.items() if not own[n]} for w, names in by.items()}
+            windows = list(kept)
+            everyone.append([sorted(all_places[w]) for w in windows])
+            searchers.append(WuManber(windows, length))
+            owners.append([sorted(kept[w].items()) for w in windows])
+            total.update(n for w in windows for n in kept[w])
+        return cls(ids, texts, searchers, owners, everyone, total)
 
     def short(self) -> list[int]:
         """Passages shorter than a window, which are looked for as they are."""
@@ -168,7 +179,8 @@ class Passages:
         sizes = np.array([len(t) for t in normals], np.int64)
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         near: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for searcher, owners in zip(self.searchers, self.owners, strict=True):
+        equal: dict[tuple[int, int], dict[int, list[int]]] = {}
+        for searcher, owners, everyone in zip(self.searchers, self.owners, self.everyone, strict=True):
             if not owners:
                 continue
             pieces = np.maximum(1, -(-sizes // LANE))
@@ -180,20 +192,57 @@ class Passages:
             for text, start, window in zip(owner[lanes].tolist(), starts.tolist(), windows.tolist(), strict=True):
                 for passage, place in owners[window]:
                     near.setdefault((text, passage), []).append((start - int(offsets[text]), place))
+                for passage, place in everyone[window]:
+                    equal.setdefault((text, passage), {}).setdefault(start - int(offsets[text]) - place, []).append(place)
         found = []
         for (i, n), hits in near.items():
             if len(hits) >= WINDOW_SHARE * self.windows[n] and span(hits) + WINDOW[is_cjk(self.texts[n])] >= SPAN_SHARE * len(self.texts[n]):
                 if holds(normals[i], self.texts[n], [start for start, _ in hits]):
                     found.append((i, n))
+        known = set(found)
+        for (i, n), diagonals in equal.items():
+            if (i, n) not in known and unedited(diagonals, STEP[is_cjk(self.texts[n])]) + WINDOW[is_cjk(self.texts[n])] + 2 * STEP[is_cjk(self.texts[n])] >= LEAST_SHARE * len(self.texts[n]):
+                if equal_stretch(normals[i], self.texts[n], diagonals) >= LEAST_SHARE * len(self.texts[n]):
+                    found.append((i, n))
         for n in self.short():
             found += [(i, n) for i, t in enumerate(normals) if self.texts[n] in t]
         return sorted(set(found))
 
 
+def unedited(diagonals: dict[int, list[int]], step: int) -> int:
+    """The most characters between two windows of a passage that stand in a text with all windows between them."""
+    best = 0
+    for places in diagonals.values():
+        first = last = -step - 1
+        for place in sorted(places):
+            if place - last > step:
+                first = place
+            last = place
+            best = max(best, place - first)
+    return best
+
+
+def equal_stretch(text: str, passage: str, diagonals: dict[int, list[int]]) -> int:
+    """The longest stretch of the passage that stands unedited in the text."""
+    best = 0
+    for shift in diagonals:
+        run = 0
+        for k in range(max(0, -shift), min(len(passage), len(text) - shift)):
+            run = run + 1 if passage[k] == text[k + shift] else 0
+            best = max(best, run)
+    return best
+
+
 def span(hits: list[tuple[int, int]]) -> int:
-    """Characters of a passage between its first and last window in a text: no running stretch with these windows spans more."""
-    places = [place for _, place in hits]
-    return max(places) - min(places)
+    """The most characters of a passage between two windows of one run: both go on in text and passage, about equally far."""
+    best = first = 0
+    last: tuple[int, int] | None = None
+    for start, place in sorted(hits):
+        if last is None or place < last[1] or abs((start - place) - (last[0] - last[1])) > INSERTION:
+            first = place
+        last = (start, place)
+        best = max(best, place - first)
+    return best
 
 
 def holds(text: str, passage: str, places: list[int]) -> bool:
