@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Observation, Window
 from pyspark.sql import types as T
 
 from meguri.functions.cells import haversine_m, valid
@@ -53,8 +54,8 @@ NOT_LETTER = re.compile(r"[^a-z]+")
 NEAR_M, OFF_M = 150.0, 1500.0
 #: The reading that the host of a site begins with.
 HOST_READING = r"^([a-z]+)\d*\."
-#: An attribute value shared by more pairs than this does not tell establishments apart by itself.
-COMMON = 400
+#: A block of more pairs than this is met by way of narrower ones.
+COMMON = 100
 
 
 def parse_name(name: str | None) -> dict[str, str | bool | None]:
@@ -164,13 +165,15 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def records(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """The parsed records of a source. ``columns`` maps id, name, name_en, name_ko, name_zh, phone, website, postal, street
-    and coordinates to its columns; missing ones are null. Rows without an id are left out, repeated ones count once."""
+    and coordinates to its columns; missing ones are null. Rows without an id are left out; of rows with one id the
+    greatest, column by column, counts."""
     text = lambda n: (F.col(f"`{columns[n]}`") if n in columns else F.lit(None)).cast("string").alias(n)
     at = F.col(f"`{columns['coordinates']}`")
     lat, lng = at["lat"].cast("double"), at["lng"].cast("double")
     ok = valid(lat, lng)
     raw = df.select(*[text(n) for n in ("id", "name", "name_en", "name_ko", "name_zh", "phone", "website", "postal", "street")], F.when(ok, lat).alias("lat"), F.when(ok, lng).alias("lng"))
-    return raw.filter("id is not null and id <> ''").dropDuplicates(["id"]).mapInPandas(_parse, RECORD)
+    one = raw.filter("id is not null and id <> ''").groupBy("id").agg(F.max(F.struct(*raw.columns[1:])).alias("r")).select("id", "r.*")
+    return one.mapInPandas(_parse, RECORD)
 
 
 def readings_of(*parsed: DataFrame) -> DataFrame:
@@ -223,66 +226,102 @@ def _slips(name: str, near: bool) -> list[Column]:
     return out
 
 
-def block_keys(parsed: DataFrame, near: bool) -> DataFrame:
-    """``(id, key, broad)``: the keys, hashed, under which a record meets others; ``near`` for the left side.
+#: Kinds of block, as bits: what two records of a block have in common.
+PHONE, SITE, STREET, POSTAL, CELL, NAME = 1, 2, 4, 8, 16, 32
+#: Degrees of the grids whose cells reach over ``NEAR_M`` and ``OFF_M``.
+NEAR_CELL, OFF_CELL = 0.0027, 0.027
 
-    The narrow keys are the combinations of what :func:`evidence` credits from
-    which a pair can reach ``ENOUGH - TWIN``:
 
-    * names the same or alike, with a phone, site, street or postal code in
-      common, or with positions near (names the same: not off);
-    * names that say nothing (no spelling that both have), with a phone or site,
-      or two of street, postal code and near positions;
-    * names that differ, with two of phone, site and street, as less does not
-      make up for them.
+def _tag(mark: str, value: Column | str) -> Column:
+    return F.concat(F.lit(mark), F.col(value) if isinstance(value, str) else value)
 
-    So every pair that can be accepted shares a narrow key. Broad keys are a
-    phone, site or street alone.
+
+def _some(*columns: Column) -> Column:
+    return F.array_distinct(F.array_compact(F.array(*columns)))
+
+
+def _cross(a: Column, b: Column) -> Column:
+    return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.concat(x, F.lit("|"), y))))
+
+
+def _same_names(near: bool) -> Column:
+    """The forms of a name under which :func:`evidence` takes two names for the same."""
+    host = F.regexp_extract("site", HOST_READING, 1)
+    hosts = (F.when(host != "", host), F.col("reading")) if near else (F.col("reading"), F.when(host != "", host))
+    return _some(_tag("n:", "place"), _tag("f:", "flat"), _tag("r:", "reading"), _tag("r:", F.coalesce("reading", "learned")), _tag("h:", hosts[0]), _tag("i:", hosts[1]))
+
+
+def blocks(parsed: DataFrame, near: bool) -> DataFrame:
+    """``(id, lat, lng, bit, key)``: the blocks, hashed, in which a record meets others; ``near`` for the left side.
+
+    Two records that :func:`evidence` can bring to ``ENOUGH - TWIN`` share a
+    phone, site, street or postal code, stand within ``NEAR_M``, or have the
+    same name: each of these is a block.
+    """
+    of = lambda bit, keys: F.transform(keys, lambda k: F.struct(F.lit(bit).alias("bit"), F.xxhash64(k).alias("key")))
+    tagged = [of(bit, _some(_tag(mark, name))) for bit, mark, name in ((PHONE, "p:", "phone"), (SITE, "s:", "site"), (STREET, "t:", "street"), (POSTAL, "z:", "postal"))]
+    rows = F.concat(*tagged, of(CELL, _cells(NEAR_M, NEAR_CELL, near)), of(NAME, _same_names(near)))
+    return parsed.select("id", "lat", "lng", F.explode(rows).alias("k")).select("id", "lat", "lng", "k.bit", "k.key")
+
+
+def narrowed(rows: DataFrame, near: bool) -> DataFrame:
+    """``(id, bit, key, weight)``: rows of crowded blocks, with all columns of their records, under the narrower blocks
+    that records of the block still share if evidence can bring them to ``ENOUGH - TWIN``:
+
+    * names the same or alike;
+    * names that say nothing (no spelling that both have), in a block of a street, postal code or place with another of these;
+    * names that differ, with two of phone, site and street, as less does not make up for them;
+    * in a block of a name, positions within ``OFF_M``.
     """
     c = F.col
-    tag = lambda mark, value: F.concat(F.lit(mark), value)
-    some = lambda *columns: F.array_distinct(F.array_compact(F.array(*columns)))
-    cross = lambda a, b: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.concat(x, F.lit("|"), y))))
-    phone, site, street, postal = (some(tag(mark, c(name))) for mark, name in (("p:", "phone"), ("s:", "site"), ("t:", "street"), ("z:", "postal")))
-    host = F.regexp_extract("site", HOST_READING, 1)
-    host = F.when(host != "", host)
-    hosts = (host, c("reading")) if near else (c("reading"), host)
-    same = some(tag("n:", c("place")), tag("f:", c("flat")), tag("r:", c("reading")), tag("r:", F.coalesce("reading", "learned")), tag("h:", hosts[0]), tag("i:", hosts[1]))
-    alike = some(tag("k:", c("korean")), *_slips("place", near), *_slips("flat", near))
-    shared = F.concat(phone, site, street, postal)
-    around, off = _cells(NEAR_M, 0.0054, near), _cells(OFF_M, 0.027, near)
+    phone, site, street, postal = (_some(_tag(mark, name)) for mark, name in (("p:", "phone"), ("s:", "site"), ("t:", "street"), ("z:", "postal")))
+    alike = F.concat(_same_names(near), _some(_tag("k:", "korean"), *_slips("place", near), *_slips("flat", near)))
+    around = _cells(NEAR_M, NEAR_CELL, near)
     # The spellings that a record has, as bits, and all that have none of them: such names cannot be compared.
     own = F.when(c("place").isNotNull(), 2).otherwise(0) + F.when(F.coalesce("reading", "learned").isNotNull(), 1).otherwise(0)
-    profiles = F.array_compact(F.array(*[F.when(own.bitwiseAND(q) == 0, F.concat_ws("/", own, F.lit(q)) if near else F.concat_ws("/", F.lit(q), own)) for q in range(4)]))
-    narrow = F.concat(
-        cross(same, F.concat(shared, off)),
-        cross(alike, F.concat(shared, around)),
-        cross(F.concat(phone, site, cross(street, postal), cross(street, around), cross(postal, around)), profiles),
-        cross(phone, site),
-        cross(phone, street),
-        cross(site, street),
-    )
-    hashed = lambda keys, broad: F.transform(F.array_distinct(keys), lambda k: F.struct(F.xxhash64(k).alias("key"), F.lit(broad).alias("broad")))
-    return parsed.select("id", F.explode(F.concat(hashed(F.concat(phone, site, street), True), hashed(narrow, False))).alias("k")).select("id", "k.key", "k.broad")
+    unlike = F.array_compact(F.array(*[F.when(own.bitwiseAND(q) == 0, F.concat_ws("/", own, F.lit(q)) if near else F.concat_ws("/", F.lit(q), own)) for q in range(4)]))
+    by_kind = {
+        PHONE: F.concat(alike, unlike, site, street),
+        SITE: F.concat(alike, unlike, phone, street),
+        STREET: F.concat(alike, _cross(F.concat(postal, around), unlike)),
+        POSTAL: F.concat(alike, _cross(F.concat(street, around), unlike)),
+        CELL: F.concat(alike, _cross(F.concat(street, postal), unlike)),
+        NAME: _cells(OFF_M, OFF_CELL, near),
+    }
+    finer = F.coalesce(*[F.when(c("bit") == bit, keys) for bit, keys in by_kind.items()])
+    return rows.select("id", "bit", "weight", "key", F.explode(F.array_distinct(finer)).alias("finer")).select("id", "bit", "weight", F.xxhash64("key", "finer").alias("key"))
 
 
 def candidates(left: DataFrame, right: DataFrame, common: int = COMMON) -> DataFrame:
-    """``(lid, rid, weight)``: pairs that share a key, weighted by the rarity of what they share, pruned per record.
-
-    A pair's weight is the sum over its broad keys of the log of how few pairs
-    the key makes; keys that make more than ``common`` give none. Meta-blocking
-    prunes a pair that weighs less than a third of the heaviest of either of its
-    records, but no pair that shares a narrow key: those can be accepted.
+    """``(lid, rid, weight)``: pairs that share a block, weighted by the rarity of what they share, pruned per record.
+
+    A block of at most ``common`` pairs gives them all. A larger one is cut into
+    narrower blocks (:func:`narrowed`), so that a phone or place that much of the
+    data shares costs no more than the pairs that could be accepted; which way a
+    block goes changes the work, not the pairs that can be accepted. A pair's
+    weight is the sum over its blocks of the log of how few pairs they make.
+    Meta-blocking prunes a pair that shares nothing but a name, does not stand
+    within ``OFF_M``, and weighs less than a third of the heaviest of either of
+    its records.
     """
-    a, b = block_keys(left, True).withColumnRenamed("id", "lid"), block_keys(right, False).withColumnRenamed("id", "rid")
-    sizes = a.filter("broad").groupBy("key").agg(F.count(F.lit(1)).alias("na")).join(b.filter("broad").groupBy("key").agg(F.count(F.lit(1)).alias("nb")), "key").withColumn("pairs", F.col("na") * F.col("nb"))
-    rare = a.filter("broad").join(sizes.filter(F.col("pairs") <= common).select("key", "pairs"), "key").join(b.filter("broad"), "key")
-    rare = rare.select("lid", "rid", F.log2(1 + F.lit(1024.0) / F.col("pairs")).alias("weight"), F.lit(False).alias("sure"))
-    sure = a.filter("not broad").join(b.filter("not broad"), "key").select("lid", "rid", F.lit(0.0).alias("weight"), F.lit(True).alias("sure"))
-    edges = rare.unionByName(sure).groupBy("lid", "rid").agg(F.sum("weight").alias("weight"), F.max("sure").alias("sure"))
-    best_l = edges.groupBy("lid").agg(F.max("weight").alias("ml"))
-    best_r = edges.groupBy("rid").agg(F.max("weight").alias("mr"))
-    return edges.join(best_l, "lid").join(best_r, "rid").filter(F.col("sure") | (F.col("weight") * 3 >= F.least("ml", "mr"))).select("lid", "rid", "weight")
+    sides = cut(blocks(left, True).withColumn("near", F.lit(True)).unionByName(blocks(right, False).withColumn("near", F.lit(False))))
+    sizes = sides.groupBy("key").agg(F.count_if("near").alias("na"), F.count_if(~F.col("near")).alias("nb")).filter("na > 0 and nb > 0")
+    # Written out, so that the join with it is one of two plain shuffles, which the engine splits at a crowded key.
+    sizes = cut(sizes.select("key", (F.col("na") * F.col("nb")).alias("pairs")))
+    weight = F.log2(1 + F.lit(1024.0) / F.col("pairs"))
+    marked = cut(sides.join(sizes, "key").withColumns({"weight": weight, "crowded": F.col("pairs") > common}).drop("pairs"))
+    rare, crowded = marked.filter("not crowded"), marked.filter("crowded")
+    side = lambda parsed, near: narrowed(crowded.filter("near" if near else "not near").select("id", "bit", "key", "weight").join(parsed, "id"), near)
+    fine = side(left, True).withColumnRenamed("id", "lid").join(side(right, False).select(F.col("id").alias("rid"), "key"), "key")
+    # A pair counts a block once, in however many narrower ones it meets.
+    fine = fine.groupBy("lid", "rid", "bit").agg(F.max("weight").alias("weight")).withColumn("close", F.lit(True))
+    near, far = rare.filter("near").select(F.col("id").alias("lid"), "bit", "key", "weight", "lat", "lng"), rare.filter("not near").select(F.col("id").alias("rid"), "key", F.col("lat").alias("rlat"), F.col("lng").alias("rlng"))
+    close = F.coalesce(haversine_m(F.col("lat"), F.col("lng"), F.col("rlat"), F.col("rlng")) <= OFF_M, F.lit(False))
+    pairs = near.join(far, "key").select("lid", "rid", "bit", "weight", close.alias("close")).unionByName(fine)
+    edges = pairs.groupBy("lid", "rid").agg(F.sum("weight").alias("weight"), F.bit_or("bit").alias("bits"), F.max("close").alias("close"))
+    best = lambda key: F.max("weight").over(Window.partitionBy(key))
+    heavy = edges.withColumn("ml", best("lid")).withColumn("mr", best("rid")).filter((F.col("bits") != NAME) | F.col("close") | (F.col("weight") * 3 >= F.least("ml", "mr")))
+    return heavy.select("lid", "rid", "weight")
 
 
 #: What each piece of evidence adds, and the sum from which two records are one establishment.
@@ -328,37 +367,41 @@ def evidence(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"name_score": name, "distance_m": distance, "score": score})
 
 
-def link(left: DataFrame, right: DataFrame, readings: DataFrame | None = None, rounds: int = 10) -> DataFrame:
+def link(left: DataFrame, right: DataFrame, readings: DataFrame | None = None, common: int = COMMON) -> DataFrame:
     """``(left_id, right_id, confidence)`` of the records of two parsed sources that are one establishment.
 
     ``readings`` may bring further ``(place, reading)`` spellings. A record may
     have several partners (one house mapped twice) or none. Null attributes
     neither speak for nor against; an empty side gives an empty result. The
     confidence is the logistic of the refined score's margin.
+
+    Neighbouring pairs act on each other until none changes: a pair with a far
+    better rival is put down for good, a pair beside a confirmed twin is lifted
+    until it is put down. Each can happen to a pair once, so the rounds end.
     """
     left, right = cut(left), cut(right)
-    learned = readings_of(left, right, *([readings] if readings is not None else []))
-    left = left.join(learned, "place", "left")
-    right = right.join(learned, "place", "left")
-    edges = candidates(left, right)
+    learned = cut(readings_of(left, right, *([readings] if readings is not None else [])))
+    left = cut(left.join(learned, "place", "left"))
+    right = cut(right.join(learned, "place", "left"))
+    edges = candidates(left, right, common)
     named = lambda df, p: df.select(*[F.col(n).alias(f"{p}_{n}") for n in df.columns])
     pairs = evidence(edges.join(named(left, "l"), F.col("lid") == F.col("l_id")).join(named(right, "r"), F.col("rid") == F.col("r_id")))
     # Only what a twin could still lift to the threshold goes on.
-    state = cut(pairs.filter(F.col("score") + TWIN >= ENOUGH).select("lid", "rid", "name_score", "score", F.col("score").alias("now")))
-    before = None
-    for _ in range(rounds):
-        top_l = state.groupBy("lid").agg(F.max("now").alias("tl"), F.count_if(F.col("now") >= ENOUGH).alias("kl"))
-        top_r = state.groupBy("rid").agg(F.max("now").alias("tr"), F.count_if(F.col("now") >= ENOUGH).alias("kr"))
-        around = state.join(top_l, "lid").join(top_r, "rid")
+    state = cut(pairs.filter(F.col("score") + TWIN >= ENOUGH).select("lid", "rid", "name_score", "score", F.lit(0.0).alias("shift")))
+    now = F.col("score") + F.col("shift")
+    while True:
+        over = lambda key: Window.partitionBy(key)
+        sure = F.count_if(now >= ENOUGH)
+        around = state.withColumns({"tl": F.max(now).over(over("lid")), "kl": sure.over(over("lid"))}).withColumns({"tr": F.max(now).over(over("rid")), "kr": sure.over(over("rid"))})
         # A twin: the record's other partner is confirmed, and this pair itself has no rival far better.
         # Of the left record's partners several may be right; of the right record's, one.
         rival = (F.col("tl") - F.col("score") >= BETTER_BY) & (F.col("name_score") < SAME_NAME) & (F.col("score") < ENOUGH + 2) | (F.col("tr") - F.col("score") >= BETTER_BY)
-        twin = F.greatest(F.col("kl"), F.col("kr")) > F.when(F.col("now") >= ENOUGH, 1).otherwise(0)
-        # The state is carried, never re-derived from scratch, so that it settles.
-        state = cut(around.select("lid", "rid", "name_score", "score", (F.col("score") + F.when(rival, F.lit(RIVAL)).when(twin & (F.col("score") >= ENOUGH - TWIN), F.lit(TWIN)).otherwise(F.lit(0.0))).alias("now")))
-        row = state.agg(F.sum("now").alias("s"), F.count_if(F.col("now") >= ENOUGH).alias("n")).first()
-        if (row["s"], row["n"]) == before:
+        twin = F.greatest(F.col("kl"), F.col("kr")) > F.when(now >= ENOUGH, 1).otherwise(0)
+        shift = F.when(rival | (F.col("shift") == RIVAL), F.lit(RIVAL)).when(twin | (F.col("shift") == TWIN), F.lit(TWIN)).otherwise(F.lit(0.0))
+        moved = Observation()
+        after = around.select("lid", "rid", "name_score", "score", "shift", shift.alias("next")).observe(moved, F.count_if(F.col("next") != F.col("shift")).alias("n"))
+        state = cut(after.select("lid", "rid", "name_score", "score", F.col("next").alias("shift")))
+        if not moved.get.get("n"):
             break
-        before = (row["s"], row["n"])
-    confidence = F.round(1 / (1 + F.exp(-(F.col("now") - ENOUGH + 1) / 1.5)), 6)
-    return state.filter(F.col("now") >= ENOUGH).select(F.col("lid").alias("left_id"), F.col("rid").alias("right_id"), confidence.alias("confidence"))
+    confidence = F.round(1 / (1 + F.exp(-(now - ENOUGH + 1) / 1.5)), 6)
+    return state.filter(now >= ENOUGH).select(F.col("lid").alias("left_id"), F.col("rid").alias("right_id"), confidence.alias("confidence"))

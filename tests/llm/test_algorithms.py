@@ -182,11 +182,14 @@ def parsed(spark, wikidata, osm):
 
 
 def missed(left, right):
-    """Pairs that could be accepted, by evidence of all pairs, and those of them that are no candidates."""
+    """Pairs that could be accepted, by evidence of all pairs, and those of them that are no candidates, whatever counts as a crowded block."""
     named = lambda df, p: df.select(*[F.col(n).alias(f"{p}_{n}") for n in df.columns])
     every = establishments.evidence(named(left, "l").crossJoin(named(right, "r"))).filter(F.col("score") >= establishments.ENOUGH - establishments.TWIN)
     every = {(r["l_id"], r["r_id"]) for r in every.select("l_id", "r_id").collect()}
-    return every, every - {(r["lid"], r["rid"]) for r in establishments.candidates(left, right).select("lid", "rid").collect()}
+    lost = set()
+    for common in (0, establishments.COMMON):
+        lost |= every - {(r["lid"], r["rid"]) for r in establishments.candidates(left, right, common).select("lid", "rid").collect()}
+    return every, lost
 
 
 def test_a_common_phone_loses_no_pair_without_names_or_positions(spark):
@@ -224,12 +227,24 @@ def test_candidates_hold_all_that_evidence_credits(spark):
     assert len(every) >= 10 and not lost
 
 
+@pytest.mark.parametrize("common", [0, 30, 10_000])
+def test_links_do_not_depend_on_what_counts_as_crowded(spark, common):
+    """25 records a side with one phone, each pair with a postal code of its own; and rivals that put each other down."""
+    wikidata = [(f"w{i}", None, None, None, None, None, "075-038-6047", None, None, f"100-{i:04d}", "z") for i in range(25)]
+    osm = [(f"o{i}", "ホテル山東" if i % 2 else None, None, None, None, None, "075-038-6047", None, None, f"100-{i:04d}", "z") for i in range(25)]
+    wikidata += [("x1", "旅館奥灯森", None, None, None, AT, "075-111-2222", "a.example", None, None, "z")]
+    osm += [("y1", "旅館奥灯森", None, None, None, near(10), "075-111-2222", "a.example", None, None, "z"), ("y2", "旅館奥灯", None, None, None, near(20), None, None, None, None, "z"), ("y3", "旅館奥灯森", None, None, None, near(30), None, None, None, None, "z")]
+    left, right = (establishments.records(spark.createDataFrame(rows, t), c) for rows, t, c in ((wikidata, W, WIKIDATA), (osm, O, OSM)))
+    got = {(r["left_id"], r["right_id"]) for r in establishments.link(left, right, common=common).collect()}
+    assert got == {(f"w{i}", f"o{i}") for i in range(25)} | {("x1", "y1"), ("x1", "y3")}
+
+
 def test_cells_reach_far_enough(spark):
     r = random.Random(7)
     rows = [(lat, r.uniform(-180, 180)) for lat in (0.0, 35.0, 60.0, 80.0, 87.9, 89.995, -70.0) for _ in range(4)] + [(35.0, 179.9999), (35.0, -179.9999), (-60.0, 179.999)]
     moved = [(a, b, max(-90.0, min(90.0, a + d * math.cos(t))), ((b + d * math.sin(t) / max(1e-3, math.cos(math.radians(a))) + 180) % 360) - 180) for a, b in rows for t in (0, 1, 1.57, 2, 3, 4, 4.71, 5) for d in (1490 / 111_195, 140 / 111_195)]
     df = spark.createDataFrame(moved, "a double, b double, c double, d double")
-    for radius, degrees in ((establishments.NEAR_M, 0.0054), (establishments.OFF_M, 0.027)):
+    for radius, degrees in ((establishments.NEAR_M, establishments.NEAR_CELL), (establishments.OFF_M, establishments.OFF_CELL)):
         from_a = df.withColumns({"lat": F.col("a"), "lng": F.col("b")}).withColumn("around", establishments._cells(radius, degrees, True))
         both = from_a.withColumns({"lat": F.col("c"), "lng": F.col("d")}).withColumn("own", establishments._cells(radius, degrees, False))
         close = both.filter(establishments.haversine_m(F.col("a"), F.col("b"), F.col("c"), F.col("d")) <= radius)
