@@ -268,6 +268,12 @@ def test_leaks(spark):
     assert leakage.find_leaks(corpus.limit(0), items).count() == 0
 
 
+def stretch(text, passage):
+    known = leakage.Passages.of([(0, passage)])
+    normal = leakage.normal(text)
+    return leakage.longest_stretch(leakage.codes(normal), known.pieces[0], len(known.texts[0]), list(range(0, len(normal), 50))) / len(known.texts[0])
+
+
 def test_leaks_of_passages_that_share_their_wording(spark):
     body = "The ferry from the old harbour to the island of the lighthouse keeper leaves after the second bell, and whoever comes late must ask the {} to row them over before the tide turns at the northern pier."
     half = "Count the steps from the gate of the upper shrine to the bridge where the market is held in autumn."
@@ -275,10 +281,48 @@ def test_leaks_of_passages_that_share_their_wording(spark):
     ends = [(10 + i, half + tail) for i, tail in enumerate(("Name three colours of the lanterns seen by guests.", "Why did the carpenters refuse to work in winter?", "Which tea is poured for those who arrive by boat?", "How long does a letter take to reach the capital?"))]
     twice = "pass the red gate and turn left; " * 3
     items = spark.createDataFrame([*variants, *ends, (20, twice)], "item_id long, text string")
-    corpus = spark.createDataFrame([(1, f"Before. {variants[0][1]} After."), (2, f"Before. {half} After."), (3, f"Before. {twice} After."), (4, "Count the steps from the gate.")], "doc_id long, text string")
+    docs = [(1, f"Before. {variants[0][1]} After."), (2, f"Before. {half} After."), (3, f"Before. {twice} After."), (4, "Count the steps from the gate."), (5, f"x {half[:30]}u{half[30:60]}{half[61:]} y")]
+    corpus = spark.createDataFrame(docs, "doc_id long, text string")
     got = {tuple(r) for r in leakage.find_leaks(corpus, items).collect()}
-    assert got == {(d, i) for d, t in ((1, variants[0][1]), (2, half), (3, twice)) for i, p in [*variants, *ends, (20, twice)] if leakage.longest_stretch(leakage.normal(t), leakage.normal(p), [0]) >= 0.5 * len(leakage.normal(p))}
-    assert {(1, 0), (2, 10), (2, 11), (2, 12), (2, 13), (3, 20)} <= got
+    assert got == {(d, i) for d, t in docs for i, p in [*variants, *ends, (20, twice)] if stretch(t, p) >= 0.5}
+    assert {(1, i) for i in range(5)} | {(2, 10), (2, 11), (2, 12), (2, 13), (3, 20), (5, 10), (5, 13)} <= got and not any(d == 4 for d, _ in got)
+
+
+@pytest.mark.parametrize("block", [1, 3, 2000])
+def test_leaks_do_not_depend_on_the_other_passages(spark, monkeypatch, block):
+    """Five passages with one half in common, and a document that holds it, however many passages go in one pass."""
+    half = "Count the steps from the gate of the upper shrine to the bridge where the market is held in autumn, "
+    items = [(i, half + tail) for i, tail in enumerate(("and name the colours of all the lanterns there.", "and say why no carpenter works in the winter.", "or pour some tea for everyone who comes by boat.", "while a letter is on its way to the capital.", "before the bell of the temple rings at nine."))]
+    monkeypatch.setattr(leakage, "PASSAGES_AT_ONCE", block)
+    corpus = spark.createDataFrame([(1, f"Before. {half} After."), (2, half.replace("shrine", "shrin").replace("market", "marketx")), (3, "An autumn market.")], "doc_id long, text string")
+    assert {tuple(r) for r in leakage.find_leaks(corpus, spark.createDataFrame(items, "item_id long, text string")).collect()} == {(d, i) for d in (1, 2) for i in range(5)}
+
+
+def test_short_passages_are_found_whole(spark):
+    items = spark.createDataFrame([(1, "ab"), (2, "stone bridge"), (3, "橋守の灯"), (4, "x")], "item_id long, text string")
+    corpus = spark.createDataFrame([(1, "The cab."), (2, "An old Stone-Bridge!"), (3, "その橋守の灯は"), (4, "nothing"), (5, LONG + "stonebridge")], "doc_id long, text string")
+    assert {tuple(r) for r in leakage.find_leaks(corpus, items).collect()} == {(1, 1), (2, 2), (3, 3), (5, 2)}
+
+
+def test_equal_pieces_and_chains_against_brute_force():
+    r = random.Random(3)
+    for _ in range(60):
+        passage, text = ("".join(r.choice("abc") for _ in range(r.randrange(4, 30))) for _ in range(2))
+        want = set()
+        for a in range(len(passage)):
+            for b in range(len(text)):
+                if a and b and passage[a - 1] == text[b - 1]:
+                    continue
+                n = 0
+                while a + n < len(passage) and b + n < len(text) and passage[a + n] == text[b + n]:
+                    n += 1
+                if n >= leakage.LEAST_PIECE:
+                    want.add((a, b, n))
+        assert set(leakage.equal_pieces(leakage.codes(text), leakage.Passages.of([(0, passage)]).pieces[0])) == want
+    assert leakage.longest_chain([(0, 0, 20), (22, 20, 30)]) == 52  # two characters left out
+    assert leakage.longest_chain([(0, 0, 20), (20, 75, 30)]) == 50  # a note put in
+    assert leakage.longest_chain([(0, 0, 20), (20, 85, 30)]) == 30  # too long a one
+    assert leakage.longest_chain([(0, 0, 10), (12, 12, 10), (24, 24, 10), (36, 36, 10)]) == 22  # a name in every place
 
 
 # Residue ------------------------------------------------------------------------------------------
