@@ -1,16 +1,18 @@
 """Template residue, filler and error-page text.
 
 Method: numbers, addresses and dates of each sentence or line are masked and
-the normalised messages of all documents grouped by hash across the sources.
-Phrase rules and weak rules (wording that a person could also use) classify the
-messages that recur widely, the same in several sources; every document with
-such a message convicts. What only a machine writes convicts a text by itself,
-at any count: placeholder and phrase rules are also run over each whole text.
-
-One automaton finds the literals that the strong rules require, as derived from
-their patterns, in a single pass over a text; a text meets only the rules of which
-it holds one, and those that require none. Hashes of messages are shuffled,
-pre-aggregated by hash, source and document; texts are not.
+the normalised messages of all documents grouped by exact hash across the
+sources. A message is classified by phrase and placeholder rules and, weakly,
+by wording that a person could also use. A group that recurs widely, the same in
+several sources, convicts every document with its message, whichever of the
+rules its wording broke. What only a machine writes convicts at any count. Rules
+that no single message can break (filler in a run, patterns over several lines)
+are tried on the whole text.
+
+One automaton finds the literals that the rules require, as derived from their
+patterns, in a single pass over a text; only a text that holds one is cut into
+messages, and meets only the rules of which it holds one. The texts are read
+once; what is shuffled is a hash for each message that broke a rule.
 """
 
 from __future__ import annotations
@@ -23,29 +25,31 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meguri.llm.boilerplate import required_literals
+from meguri.session import cut
 
 # The rules, as regular expressions.
 #: Slots that were never filled, in the syntax of the usual template languages.
 SLOTS = (
-    r"\{\{[^{}\n]{0,80}\}\}",
-    r"[$#]\{[^{}\n]{1,60}\}",
-    r"<%[=-]?[^%\n]{0,80}%>|&lt;%[^%\n]{0,80}%&gt;",
-    r"<\?(?:=|php)[^?\n]{0,80}\?>",
-    r"\{%[^%\n]{0,80}%\}",
-    r"\[\[\s*[\w. ]{1,40}\s*\]\]",
-    r"\[%[^%\n]{1,60}%\]",
+    r"\{\{[^{}\n]*\}\}",
+    r"[$#]\{[^{}\n]+\}",
+    r"<%[=-]?[^%\n]*%>|&lt;%[^%\n]*%&gt;",
+    r"<\?(?:=|php)[^?\n]*\?>",
+    r"\{%[^%\n]*%\}",
+    r"\[\[\s*[\w. ]+\s*\]\]",
+    r"\[%[^%\n]+%\]",
     r"%\([A-Za-z_]\w*\)[sdif]",
-    r"(?<![\w%])%[A-Za-z_][\w.]{1,40}%(?!\w)",
+    r"(?<![\w%])%[A-Za-z_][\w.]+%(?!\w)",
     r"(?<![\d%A-Za-z])%[sd](?![A-Za-z])",
-    r"@@\w{1,40}@@|(?<![\w])__[A-Z][A-Z_]*[A-Z]__(?!\w)",
+    r"@@\w+@@|(?<![\w])__[A-Z][A-Z_]*[A-Z]__(?!\w)",
     r"(?<![{$#%\w])\{(?:[A-Za-z_][\w]*(?:\.\w+)*|\d)\}(?!\})",
     r"\{[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}ー]{1,16}\}",
-    r"&lt;[A-Za-z_][\w. ]{0,40}&gt;",
+    r"&lt;[A-Za-z_][\w. ]*&gt;",
     r"<[a-z][\w.]*(?: [a-z]+)* here>|<(?:your|insert|enter)\b[^<>\n]{0,40}>|<[a-z]+(?:[A-Z][a-z]+)+>|<[a-z]+[._][a-z._]+>|<[A-Z]{2,}(?:_[A-Z]+)+>",
     r"(?i)\[(?:insert|enter|your|add|type)\b[^\[\]\n]{0,40}\]|\((?:insert|enter) [^()\n]{0,30} here\)",
     r"\[(?:NAME|PLACE|DATE|TITLE|CITY|ADDRESS|PRICE|TEXT|URL|IMAGE|PHONE)\]",
@@ -135,22 +139,25 @@ STRONG = {"slot": SLOTS, "filler": FILLER, "error": ERRORS, "scripts": SCRIPTS_N
 MIN_DOCUMENTS, MIN_SOURCES = 20, 5
 
 MASKS = (
-    (r"https?://\S+|www\.\S+|(?<![\w/])/[\w./-]+", "⟨u⟩"),
-    (r"\d{1,4}[-/年.]\d{1,2}[-/月.]\d{1,4}日?|\d{1,2}:\d{2}(?::\d{2})?", "⟨t⟩"),
-    (r"(?<![A-Za-z])(?=[a-f]*\d)[0-9a-f]{5,}(?![A-Za-z])|\d+(?:[.,]\d+)*", "⟨n⟩"),
+    (re.compile(r"https?://\S+|www\.\S+|(?<![\w/])/[\w./-]+"), "⟨u⟩"),
+    (re.compile(r"\d{1,4}[-/年.]\d{1,2}[-/月.]\d{1,4}日?|\d{1,2}:\d{2}(?::\d{2})?"), "⟨t⟩"),
+    (re.compile(r"(?<![A-Za-z])(?=[a-f]*\d)[0-9a-f]{5,}(?![A-Za-z])|\d+(?:[.,]\d+)*"), "⟨n⟩"),
 )
+MESSAGE_END = re.compile(r"\n+|(?<=[。！？])|(?<=[.!?])\s+")
+CLOSED = regex.compile(r"[\s\p{P}]+")
+MASKED_AWAY = regex.compile(r"[\s\p{P}\d]+")
 
 
-def masked(text: Column) -> Column:
+def masked(message: str) -> str:
     """A message with its addresses, dates and numbers masked, in lower case, spaces and punctuation closed up."""
     for pattern, mark in MASKS:
-        text = F.regexp_replace(text, pattern, mark)
-    return F.trim(F.regexp_replace(F.lower(text), r"(?U)[\s\p{Punct}。、，！？「」（）]+", " "))
+        message = pattern.sub(mark, message)
+    return CLOSED.sub(" ", message.lower()).strip()
 
 
-def messages(text: Column) -> Column:
+def messages(text: str) -> list[str]:
     """The sentences and lines of a text."""
-    return F.filter(F.split(text, r"\n+|(?<=[。！？])|(?<=[.!?])\s+"), lambda m: F.length(F.trim(m)) >= 4)
+    return [m for m in MESSAGE_END.split(text) if len(m.strip()) >= 4]
 
 
 def folded(text: str) -> str:
@@ -168,17 +175,25 @@ def anchors_of(pattern: str) -> set[str] | None:
     return {folded(literal) for literal in found} if found else None
 
 
+#: The number of the weak rule, beside those of the strong ones.
+WEAKLY = -1
+
+
 class Rules:
-    """The strong rules, behind an automaton that finds in one pass over a text every literal that a rule requires.
+    """The rules, behind an automaton that finds in one pass over a text every literal that a rule requires.
 
     The literals are derived from the patterns; a rule that requires none is tried on every text.
     """
 
     def __init__(self) -> None:
         self.patterns = [(name, regex.compile(p)) for name, patterns in STRONG.items() for p in patterns]
+        self.weak = regex.compile(WEAK)
+        #: Rules of wording, which a message can break with its numbers masked and its punctuation closed up.
+        self.phrases = {n for n, (name, _) in enumerate(self.patterns) if name != "slot"}
         self.always: set[int] = set()
         groups: dict[str, set[int]] = {}
-        for number, pattern in enumerate(p for patterns in STRONG.values() for p in patterns):
+        numbered = list(enumerate(p for patterns in STRONG.values() for p in patterns))
+        for number, pattern in [*numbered, (WEAKLY, WEAK)]:
             literals = anchors_of(pattern)
             if literals is None:
                 self.always.add(number)
@@ -189,16 +204,38 @@ class Rules:
             self.anchors.add_word(literal, tuple(numbers))
         self.anchors.make_automaton()
 
-    def rule(self, text: str) -> str | None:
-        """The first class of strong rule that a text breaks."""
+    def near(self, text: str) -> set[int]:
+        """The rules that a text may break."""
         near = set(self.always)
         for _, numbers in self.anchors.iter(folded(text)):
             near.update(numbers)
-        for number in sorted(near):
-            name, pattern = self.patterns[number]
-            if pattern.search(text):
-                return name
-        return "filler" if mock_latin(text) else None
+        return near
+
+    def broken(self, text: str, near: set[int]) -> str | None:
+        """The class of the first strong rule among ``near`` that a text breaks."""
+        return next((self.patterns[n][0] for n in sorted(near) if n >= 0 and self.patterns[n][1].search(text)), None)
+
+    def rule(self, text: str) -> str | None:
+        """The first class of strong rule that a text breaks."""
+        return self.broken(text, self.near(text)) or ("filler" if mock_latin(text) else None)
+
+    def message_hashes(self, text: str, near: set[int]) -> list[tuple[int, str | None]]:
+        """Hash and strong class, if any, of each different message of a text that breaks a rule, as it is or masked.
+
+        ``near`` are the strong rules that the text may break as it is. With its punctuation closed up, a text may hold
+        literals that it does not hold as it is; masked, it has no digits."""
+        closed = self.near(MASKED_AWAY.sub(" ", text)) & (self.phrases | {WEAKLY})
+        if not near and not closed:
+            return []
+        out: dict[int, str | None] = {}
+        for message in messages(text):
+            strong = self.broken(message, near) if near else None
+            own = closed & self.near(MASKED_AWAY.sub(" ", message)) if closed else closed
+            if strong or own:
+                plain = masked(message)
+                if strong or WEAKLY in own and self.weak.search(plain) or self.broken(plain, own):
+                    out[signed_hash(plain)] = strong or out.get(signed_hash(plain))
+        return list(out.items())
 
     def rules(self, texts: list[str]) -> list[str | None]:
         out = [self.rule(t) for t in texts]
@@ -207,6 +244,10 @@ class Rules:
         return out
 
 
+def signed_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
 SENTENCE_END = re.compile(r"(?<=[.!?。])\s+|\n{2,}")
 LATIN_ONLY = re.compile(r"[A-Za-z\s,;.!?'-]+")
 WORD = re.compile(r"[a-z]+")
@@ -251,50 +292,66 @@ def _rules() -> Rules:
     return Rules()
 
 
-def _rule_series(texts: pd.Series) -> pd.Series:
-    here = texts.notna()
-    out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-    out[here] = _rules().rules(texts[here].tolist())
-    return out
-
-
-def strong_rule(text: Column) -> Column:
-    """The first class of strong rule that a text breaks, or null."""
-    return F.pandas_udf(_rule_series, T.StringType())(text)
+VERDICT = T.StructType(
+    [
+        T.StructField("whole", T.StringType()),
+        T.StructField("messages", T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("rule", T.StringType())]))),
+    ]
+)
 
 
-def _message_series(messages: pd.Series) -> pd.Series:
+def _verdicts(texts: pd.Series) -> pd.DataFrame:
     rules = _rules()
-    return messages.map({m: rules.rule(m) for m in messages.dropna().unique()}).astype(object)
+    lines = texts.fillna("").tolist()
+    again = set(repetitive(lines))
+    whole, said = [], []
+    for i, text in enumerate(lines):
+        near = rules.near(text)
+        strong = rules.broken(text, near) or ("filler" if mock_latin(text) or i in again else None)
+        whole.append(strong)
+        said.append(rules.message_hashes(text, near - {WEAKLY} if strong else set()))
+    return pd.DataFrame({"whole": whole, "messages": [[{"hash": h, "rule": r} for h, r in m] for m in said]})
 
 
-def message_rule(message: Column) -> Column:
-    """The first class of strong rule that a masked message breaks, or null: its wording alone counts, each different one of a batch once."""
-    return F.pandas_udf(_message_series, T.StringType())(message)
+def verdict(text: Column) -> Column:
+    """What a text shows by itself: ``whole``, the first class of strong rule that it breaks, and ``messages``, the
+    ``hash`` of each of its masked messages whose wording breaks a rule, with the class of a strong one that it breaks as it is."""
+    return F.pandas_udf(_verdicts, VERDICT)(text)
 
 
 def find_residue(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", min_documents: int = MIN_DOCUMENTS, min_sources: int = MIN_SOURCES) -> DataFrame:
-    """``(doc_key, rule)`` of each document whose text is, or contains, residue; ``rule`` names its class.
+    """``(doc_key, rule, way)`` of each document whose text is, or contains, residue; ``rule`` names its class.
 
     Null, empty and blank texts are no case; very long texts are searched
     whole; repeated rows count once; a null source is one source of its own;
     further columns do not matter. To leave such documents out, anti-join.
 
-    Two paths: a text that breaks a strong rule, and (``recurring``, where no
-    strong rule names the class) a text with a message that recurs widely and
-    has the wording of residue. Messages are counted over all documents, once
-    in each, and exactly; a key under two sources counts in either.
+    ``way`` says what convicts: ``recurring``, a message that stands in at least
+    ``min_documents`` documents and ``min_sources`` sources and breaks a weak or
+    a strong rule; else ``message``, one that breaks a strong rule, at any
+    count; else ``text``, a rule over the whole text. ``rule`` is the strong
+    class if the document has one, else ``recurring``. A message that breaks no
+    rule convicts nobody, so only the others are counted: over all documents,
+    once in each, exactly; a key under two sources counts in either.
+
+    The texts are read once. The messages are written out and grouped: distinct
+    ``(hash, source, document)`` first, map-side, so that a message of a third
+    of all documents is a few counts; the join back is one of two plain
+    shuffles, which the engine splits.
     """
     t = F.col(f"`{text}`").cast("string")
     rows = df.select(F.col(f"`{key}`").alias("doc_key"), t.alias("text"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("source")).filter(F.col("text").rlike(r"\S"))
-    strong = rows.select("doc_key", strong_rule(F.col("text")).alias("rule")).filter("rule is not null")
-    said = rows.select("doc_key", "source", F.explode(F.array_distinct(F.transform(messages(F.col("text")), masked))).alias("message")).withColumn("hash", F.xxhash64("message"))
+    judged = rows.select("doc_key", "source", verdict(F.col("text")).alias("v")).select("doc_key", "source", "v.whole", "v.messages")
+    judged = cut(judged.filter(F.col("whole").isNotNull() | (F.size("messages") > 0)))
+    said = judged.select("doc_key", "source", F.explode("messages").alias("m")).select("doc_key", "source", "m.hash", "m.rule")
     per_source = said.groupBy("hash", "source").agg(F.count_distinct(F.struct("doc_key")).alias("n"))
-    recurring = per_source.groupBy("hash").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sources")).filter((F.col("n") >= min_documents) & (F.col("sources") >= min_sources)).select("hash")
-    again = said.join(recurring, "hash", "left_semi")
-    wide = again.filter(F.col("message").rlike(WEAK) | message_rule(F.col("message")).isNotNull()).select("doc_key", F.lit("recurring").alias("rule"))
-    by_text = F.min(F.when(F.col("rule") != "recurring", F.col("rule")))
-    return strong.unionByName(wide).groupBy("doc_key").agg(F.coalesce(by_text, F.lit("recurring")).alias("rule"))
+    recurring = per_source.groupBy("hash").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sources")).filter((F.col("n") >= min_documents) & (F.col("sources") >= min_sources))
+    again = said.select("doc_key", "hash").join(cut(recurring.select("hash")), "hash", "left_semi").select("doc_key", F.lit(None).cast("string").alias("rule"), F.lit(0).alias("way"))
+    alone = said.filter("rule is not null").select("doc_key", "rule", F.lit(1).alias("way"))
+    whole = judged.filter("whole is not null").select("doc_key", F.col("whole").alias("rule"), F.lit(2).alias("way"))
+    found = again.unionByName(alone).unionByName(whole).groupBy("doc_key").agg(F.min("rule").alias("rule"), F.min("way").alias("way"))
+    ways = F.array(F.lit("recurring"), F.lit("message"), F.lit("text"))
+    return found.select("doc_key", F.coalesce("rule", F.lit("recurring")).alias("rule"), F.element_at(ways, F.col("way") + 1).alias("way"))
 
 
 def without_residue(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

@@ -340,6 +340,7 @@ def test_equal_pieces_and_chains_against_brute_force():
         ("Lorem ipsum dolor sit amet.", "filler"),
         ("Sedvit isoreunt quevitpra aminul pra ver.", "filler"),
         ("blah blah blah blah", "filler"),
+        ("The gate {{" + "x" * 300 + "}} is open.", "slot"),
         ("The inn has rooms. 404 Not Found", "error"),
         ("このページを表示する権限がありません。（f79208）", "error"),
         ("요청하신 페이지를 찾을 수 없습니다.", "error"),
@@ -437,3 +438,23 @@ def test_recurring_messages_are_counted_over_all_documents(spark):
     df = spark.createDataFrame(weak + phrase + few + narrow + times, "doc_id long, text string, source string")
     got = {r["doc_key"]: r["rule"] for r in residue.find_residue(df).collect()}
     assert got == {i: "slot" if i < 90 else "recurring" for i in range(100)} | {200 + i: "recurring" for i in range(20)}
+    ways = {r["doc_key"]: r["way"] for r in residue.find_residue(spark.createDataFrame([*weak, (900, "404 Not Found", "s"), (901, "mu " * 40, "s")], "doc_id long, text string, source string")).collect()}
+    assert ways == {i: "recurring" for i in range(100)} | {900: "message", 901: "text"}
+
+
+def test_gate_of_the_messages_loses_nothing(sf_dir):
+    import pandas as pd
+
+    rules = residue._rules()
+    every = set(range(len(rules.patterns)))
+    texts = [t for t in pd.read_parquet(f"{sf_dir}/documents.parquet").text if isinstance(t, str)]
+    texts += ["Bad - gateway 5!", "Page 4 not/found", "Please try-again tomorrow", "Rien", "TEMPLATE", "bad 3 gateway", "こちらに 5 名前を入力"]
+    for text in texts:
+        want = {}
+        for message in residue.messages(text):
+            plain = residue.masked(message)
+            strong = rules.broken(message, every)
+            if strong or rules.weak.search(plain) or rules.broken(plain, every & rules.phrases):
+                want[residue.signed_hash(plain)] = strong or want.get(residue.signed_hash(plain))
+        near = rules.near(text)
+        assert dict(rules.message_hashes(text, near - {residue.WEAKLY})) == want
