@@ -7,7 +7,7 @@ every record hangs directly on the smallest identifier of its component.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from meguri.session import cut
@@ -19,29 +19,52 @@ def clean_edges(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (a != "").alias("_a"), (b != "").alias("_b")).filter("_a and _b and u <> v").select("u", "v").distinct()
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: A node with more than this share of all edges, and more edges than any task minds, is a hub; there are fewer than
+#: twice the share's inverse of them.
+HUB_SHARE, HUB_EDGES = 1 / 512, 1_000_000
+
+
+def _moved(edges: DataFrame, node: str, low: DataFrame, edge_count: int) -> DataFrame:
+    """``edges`` with ``m``, the smallest node around ``node``, from ``low`` ``(n, m, degree)``.
+
+    A hub's minimum goes to the edges by broadcast, a table of fewer than
+    ``2 / HUB_SHARE`` rows, so that its edges stay where they are; those of all
+    other nodes are shuffled, none of which fills more than that share. With
+    fewer edges than make a hub there is none, and the plan leaves that out.
+    """
+    if 2 * edge_count <= HUB_EDGES:
+        return edges.join(low.select(F.col("n").alias(node), "m"), node).select("u", "v", "m")
+    hubs = low.filter(F.col("degree") > max(edge_count * HUB_SHARE, HUB_EDGES)).select(F.col("n").alias(node), F.col("m").alias("hub_m"))
+    marked = edges.join(F.broadcast(hubs), node, "left")
+    light = marked.filter("hub_m is null").drop("hub_m").join(low.select(F.col("n").alias(node), "m"), node)
+    return marked.filter("hub_m is not null").withColumnRenamed("hub_m", "m").select("u", "v", "m").unionByName(light.select("u", "v", "m"))
+
+
+def _star(edges: DataFrame, large: bool, edge_count: int) -> DataFrame:
     """One star step over edges ``(u, v)`` with ``u > v``.
 
     Large-star: every node links its larger neighbours to the smallest node
     around it (itself included). Small-star: the same for its smaller
     neighbours and itself. The minimum is pre-aggregated before the shuffle and
-    joined back, so no neighbourhood is ever collected; a hub's rows may be
-    split by the engine's skew handling.
+    joined back, so no neighbourhood is ever collected, and a hub is never
+    shuffled to one task (:func:`_moved`).
     """
     if large:
-        around = edges.select(F.col("u").alias("n"), F.col("v").alias("x")).union(edges.select(F.col("v").alias("n"), F.col("u").alias("x")))
-        low = around.groupBy("n").agg(F.min("x").alias("m")).select("n", F.least("n", "m").alias("m"))
-        moved = around.filter("x > n").join(low, "n").select(F.col("x").alias("u"), F.col("m").alias("v"))
+        around = edges.select(F.col("u").alias("n"), F.col("v").alias("x")).union(edges.select(F.col("v").alias("n"), F.col("v").alias("x")))
+        low = around.groupBy("n").agg(F.min("x").alias("m"), F.count(F.lit(1)).alias("degree"))
+        moved = _moved(edges, "v", low, edge_count).select("u", F.col("m").alias("v"))
     else:
-        low = edges.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
-        moved = edges.withColumnRenamed("u", "n").join(low, "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select(F.col("n").alias("u"), F.col("m").alias("v")))
+        low = edges.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+        moved = _moved(edges, "u", low, edge_count).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select(F.col("n").alias("u"), F.col("m").alias("v")))
     return moved.distinct()
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    """A fingerprint of the edge set: the same before and after means a fixed point."""
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return int(row["n"]), int(row["h"] or 0)
+def _cut(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The edges written out, with a fingerprint of their set, taken as they are written: the same before and after means a fixed point."""
+    seen = Observation()
+    out = cut(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+    values = seen.get
+    return out, (int(values["n"]), int(values["h"] or 0))
 
 
 def connected_components(pairs: DataFrame, left: str = "left_source_id", right: str = "right_source_id") -> DataFrame:
@@ -53,15 +76,11 @@ def connected_components(pairs: DataFrame, left: str = "left_source_id", right:
     empty result. The number of rounds grows with the logarithm of the longest
     chain. Lineage is cut in the shared checkpoint folder after every round.
     """
-    edges = cut(clean_edges(pairs, left, right))
-    state = _state(edges)
+    edges, state = _cut(clean_edges(pairs, left, right))
     while state[0]:
-        edges = cut(_star(_star(edges, large=True), large=False))
-        after = _state(edges)
-        if after == state:
+        before = state
+        edges, state = _cut(_star(_star(edges, True, before[0]), False, before[0]))
+        if state == before:
             break
-        state = after
     roots = edges.select(F.col("v").alias("record_key"), F.col("v").alias("group_key")).distinct()
     return edges.select(F.col("u").alias("record_key"), F.col("v").alias("group_key")).unionByName(roots)
-
-

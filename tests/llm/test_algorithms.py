@@ -249,3 +249,18 @@ def test_cells_reach_far_enough(spark):
         both = from_a.withColumns({"lat": F.col("c"), "lng": F.col("d")}).withColumn("own", establishments._cells(radius, degrees, False))
         close = both.filter(establishments.haversine_m(F.col("a"), F.col("b"), F.col("c"), F.col("d")) <= radius)
         assert close.count() > 50 and close.filter(~F.arrays_overlap("around", "own")).count() == 0
+
+
+def test_a_hub_is_not_shuffled_to_one_task(spark, monkeypatch):
+    """The edges of a hub meet its minimum by a broadcast of few rows; only the edges of other nodes are shuffled by node."""
+    hub = [(f"x{i:05d}", "m") for i in range(3000)] + [(f"y{i}", f"z{i}") for i in range(100)]
+    edges = spark.createDataFrame([(max(p), min(p)) for p in hub], "u string, v string")
+    monkeypatch.setattr(components, "HUB_EDGES", 100)
+    for large in (True, False):
+        star = components._star(edges, large, edges.count())
+        plan = star._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" in plan
+    low = edges.groupBy(F.col("v").alias("n")).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+    assert low.filter(F.col("degree") > max(3100 * components.HUB_SHARE, components.HUB_EDGES)).count() == 1
+    pairs = [(b, a) for a, b in hub] + [("a", "x00005"), ("m", "zz")]
+    assert run_components(spark, pairs) == union_find(pairs)
