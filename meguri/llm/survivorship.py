@@ -1,14 +1,15 @@
 """One surviving record, field by field, of each group of duplicate records.
 
 Method: the records of a group are points in three dimensions, completeness,
-recency and trust. The Pareto-undominated ones (the skyline) are kept and a
-lexicographic policy decides among them; a field whose value is missing in the
-first dominance layer is filled from the next layer that has it.
+recency and trust. Those that no other record dominates are the skyline, the
+first layer; without them, the next undominated ones are the second, and so on.
+Every field is taken from the first layer that has a usable value of it; within
+a layer a lexicographic policy decides.
 
 Completeness and trust take few values, so a group is first reduced, map-side,
-to the best record of every (completeness, trust) cell: a record that is older
-than another of its own cell is dominated. A group of any size, also one that
-holds a third of all rows, therefore arrives as a handful of cells.
+to the latest record of every (completeness, trust) cell: an older one of the
+same cell is dominated by it and has nothing that it lacks. A group of any size,
+also one that holds a third of all rows, therefore arrives as a handful of cells.
 """
 
 from __future__ import annotations
@@ -16,9 +17,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Trust is an integer from 0 to this; larger values count as this.
-MOST_TRUST = 15
-
 # What stands in for a value.
 STAND_INS = (
     "null none nil n/a na nan undefined unknown unnamed untitled unspecified tbd tba todo tbc wip test dummy sample placeholder xxx xx x empty missing blank pending "
@@ -68,47 +66,72 @@ def usable_reasons(reasons: Column) -> Column:
     return F.coalesce(F.exists(reasons, lambda r: F.coalesce(real_value(r), F.lit(False))), F.lit(False))
 
 
-def survivors(df: DataFrame, group: str, record: str, recency: str, fields: dict[str, Column], trust: Column | None = None, at_least: int = 2) -> DataFrame:
-    """``(group_key, field, record_id, layer_size)``: for each field of each group, the record whose value survives.
+def layers(df: DataFrame, group: str, record: str, recency: str, fields: dict[str, Column], trust: Column | None = None, at_least: int = 2, counted: bool = False) -> DataFrame:
+    """``(group_key, cells)``: the reduced records of each group, by layer and policy.
+
+    A cell has ``layer`` (from 1), ``recency``, ``trust``, ``usable`` (a bit for
+    each field, in their order) and ``record_id``. One record is as complete as
+    another if it has every field that the other has, or with ``counted`` if it
+    has as many. A record dominates another if it is as complete, as recent and
+    as trusted, and in something more so. Cells come by layer, in it by the
+    policy later, more trusted, more complete, smaller record id.
 
-    ``fields`` names each field and says where its value is usable. The points
-    of a field are (usable, recency, trust); its skyline is taken over the whole
-    group and resolved by the policy usable, then later, then more trusted, then
-    the smaller record id. No row comes out where no value of the group is
-    usable, or where the group has fewer than ``at_least`` different records.
-    Null groups and records are left out, a null recency counts as the oldest;
-    exact repeats count once, further columns do not matter, ties are resolved
-    as said, and an empty table gives an empty result.
+    Groups of fewer than ``at_least`` different records are left out, and so are
+    null groups and records; a null recency counts as the oldest, a null trust
+    as 0. A record delivered twice is one; of differing deliveries the best in
+    each field counts. Trust is a rank of few different values.
     """
-    flags = [F.coalesce(usable, F.lit(False)).cast("int").alias(f"u{i}") for i, usable in enumerate(fields.values())]
-    level = F.coalesce(F.greatest(F.lit(0), F.least(trust.cast("int"), F.lit(MOST_TRUST))), F.lit(0)) if trust is not None else F.lit(0)
-    rows = df.select(F.col(f"`{group}`").alias("group_key"), F.col(f"`{record}`").alias("record_id"), F.col(f"`{recency}`").alias("recency"), level.alias("trust"), *flags)
+    usable = [F.when(F.coalesce(flag, F.lit(False)), 1 << i).otherwise(0) for i, flag in enumerate(fields.values())]
+    level = F.coalesce(trust.cast("int"), F.lit(0)) if trust is not None else F.lit(0)
+    bits = usable[0]
+    for flag in usable[1:]:
+        bits = bits + flag
+    rows = df.select(F.col(f"`{group}`").alias("group_key"), F.col(f"`{record}`").alias("record_id"), F.col(f"`{recency}`").alias("recency"), level.alias("trust"), bits.alias("usable"))
     rows = rows.filter("group_key is not null and record_id is not null").withColumn("recency", F.coalesce("recency", F.lit("0001-01-01").cast("timestamp")))
-    # A record delivered twice is one record; of differing deliveries the best in each field counts.
-    once = rows.groupBy("group_key", "record_id").agg(F.max("recency").alias("recency"), F.max("trust").alias("trust"), *[F.max(f"u{i}").alias(f"u{i}") for i in range(len(fields))])
-    long = once.select("group_key", "record_id", "recency", "trust", F.posexplode(F.array(*[F.col(f"u{i}") for i in range(len(fields))])).alias("f", "complete"))
-    best = F.max_by(F.struct("recency", "record_id"), F.struct("recency", F.lit(0) - F.col("record_id").cast("decimal(38,0)"))) if dict(df.dtypes)[record] in ("bigint", "int") else F.max(F.struct("recency", "record_id"))
-    cells = long.groupBy("group_key", "f", "complete", "trust").agg(best.alias("b"), F.count(F.lit(1)).alias("n"))
-    groups = cells.groupBy("group_key", "f").agg(
-        F.collect_list(F.struct("complete", F.col("b.recency").alias("recency"), "trust", F.col("b.record_id").alias("record_id"))).alias("cells"),
-        F.sum("n").alias("n"),
-    ).filter(F.col("n") >= at_least)
-    beats = lambda a, b: (a["complete"] >= b["complete"]) & (a["recency"] >= b["recency"]) & (a["trust"] >= b["trust"]) & ((a["complete"] > b["complete"]) | (a["recency"] > b["recency"]) | (a["trust"] > b["trust"]))
-    skyline = F.filter("cells", lambda c: ~F.exists("cells", lambda o: beats(o, c)))
-    # As structs compare field by field, the largest is the policy's choice.
-    chosen = groups.withColumn("skyline", skyline).withColumn("top", F.array_max("skyline")).filter("top.complete = 1")
-    names = F.array(*[F.lit(name) for name in fields])
-    return chosen.select("group_key", F.element_at(names, F.col("f") + 1).alias("field"), F.col("top.record_id").alias("record_id"), F.size("skyline").alias("layer_size"))
+    once = rows.groupBy("group_key", "record_id").agg(F.max("recency").alias("recency"), F.max("trust").alias("trust"), F.bit_or("usable").alias("usable"))
+    # Negated, so that the least struct is the latest record and, of these, the one with the smallest id.
+    age = (F.lit(0) - F.unix_micros("recency")).alias("age")
+    cells = once.groupBy("group_key", "usable", "trust").agg(F.min(F.struct(age, "record_id")).alias("b"), F.count(F.lit(1)).alias("n"))
+    cell = F.struct(F.col("b.age").alias("age"), (F.lit(0) - F.col("trust")).alias("distrust"), (F.lit(0) - F.bit_count("usable")).alias("gaps"), F.col("b.record_id").alias("record_id"), "usable")
+    groups = cells.groupBy("group_key").agg(F.array_sort(F.collect_list(cell)).alias("cells"), F.sum("n").alias("n")).filter(F.col("n") >= at_least)
+    complete = (lambda a, b: a["gaps"] <= b["gaps"]) if counted else (lambda a, b: a["usable"].bitwiseAND(b["usable"]) == b["usable"])
+    more = lambda a, b: (a["age"] < b["age"]) | (a["distrust"] < b["distrust"]) | ((a["gaps"] != b["gaps"]) if counted else (a["usable"] != b["usable"]))
+    beats = lambda a, b: complete(a, b) & (a["age"] <= b["age"]) & (a["distrust"] <= b["distrust"]) & more(a, b)
+    # In this order whatever dominates a cell comes before it, so its layer is one more than the last of those.
+    kinds = dict(df.dtypes)
+    none = F.expr(f"cast(array() as array<struct<layer:int,age:bigint,distrust:int,gaps:int,record_id:{kinds[record]},usable:int>>)")
+    above = lambda done, c: F.aggregate(done, F.lit(0), lambda m, d: F.when(beats(d, c), F.greatest(m, d["layer"])).otherwise(m))
+    numbered = F.aggregate("cells", none, lambda done, c: F.concat(done, F.array(F.struct((above(done, c) + 1).alias("layer"), c["age"].alias("age"), c["distrust"].alias("distrust"), c["gaps"].alias("gaps"), c["record_id"].alias("record_id"), c["usable"].alias("usable")))))
+    return groups.select("group_key", F.array_sort(numbered).alias("cells"))
+
+
+def survivors(df: DataFrame, group: str, record: str, recency: str, fields: dict[str, Column], trust: Column | None = None, at_least: int = 2, counted: bool = False) -> DataFrame:
+    """``(group_key, field, record_id, layer)``: for each field of each group, the record whose value survives and its layer.
+
+    ``fields`` names each field and says where its value is usable; see
+    :func:`layers` for the rest. No row comes out where no value of the group is
+    usable. With ``counted`` false the latest usable value survives: only a
+    record that has the field too can dominate the one that holds it. Exact
+    repeats count once, further columns do not matter, and an empty table gives
+    an empty result.
+    """
+    grouped = layers(df, group, record, recency, fields, trust, at_least, counted)
+    first = lambda bit: F.try_element_at(F.filter("cells", lambda c: c["usable"].bitwiseAND(F.lit(bit)) != 0), F.lit(1))
+    chosen = F.array(*[F.struct(F.lit(name).alias("field"), first(1 << i).alias("c")) for i, name in enumerate(fields)])
+    return grouped.select("group_key", F.explode(chosen).alias("f")).filter("f.c is not null").select("group_key", "f.field", F.col("f.c.record_id").alias("record_id"), F.col("f.c.layer").alias("layer"))
 
 
 def golden_records(df: DataFrame, group: str, record: str, recency: str, fields: dict[str, Column], trust: Column | None = None) -> DataFrame:
     """One built record of each group: ``group_key`` and every field of ``fields`` with its surviving value.
 
-    A field that the chosen record lacks is filled from the next dominance layer
-    that has it; where none has, it is null. Groups of one record are kept.
+    Layers are those of the whole records, completeness being the number of
+    usable fields. A field that no record of a layer has is filled from the next
+    layer that has it; where none has, it is null. Groups of one record are kept.
     """
-    chosen = survivors(df, group, record, recency, fields, trust, at_least=1).select("group_key", "field", "record_id")
-    values = df.select(F.col(f"`{group}`").alias("group_key"), F.col(f"`{record}`").alias("record_id"), *[F.col(f"`{name}`").alias(name) for name in fields])
+    chosen = survivors(df, group, record, recency, fields, trust, 1, True).select("group_key", "field", "record_id")
+    usable = [F.when(F.coalesce(flag, F.lit(False)), F.col(f"`{name}`")).alias(name) for name, flag in fields.items()]
+    values = df.select(F.col(f"`{group}`").alias("group_key"), F.col(f"`{record}`").alias("record_id"), *usable)
     keys = values.select("group_key").filter("group_key is not null").distinct()
-    wide = values.join(chosen, ["group_key", "record_id"]).groupBy("group_key").agg(*[F.first(F.when(F.col("field") == name, F.col(f"`{name}`")), ignorenulls=True).alias(name) for name in fields])
+    # Of differing deliveries of the record, the greatest value: whichever order they come in.
+    wide = values.join(chosen, ["group_key", "record_id"]).groupBy("group_key").agg(*[F.max(F.when(F.col("field") == name, F.col(f"`{name}`"))).alias(name) for name in fields])
     return keys.join(wide, "group_key", "left")

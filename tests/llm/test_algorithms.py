@@ -105,18 +105,66 @@ def test_survivors_against_brute_force(spark):
         good = [row for row in own.values() if row[3] == "x"]
         if len(own) > 1 and good:
             # Policy: later, then more trusted, then the smaller id.
-            best = max(good, key=lambda row: (row[2] or datetime(1, 1, 1), min(15, row[4] or 0), -row[1]))
+            best = max(good, key=lambda row: (row[2] or datetime(1, 1, 1), row[4] or 0, -row[1]))
             want[g, "v"] = best[1]
     assert got == want
     assert survivorship.survivors(df.limit(0), "g", "id", "t", {"v": F.col("v") == "x"}).count() == 0
 
 
+def peeled(points, dominates):
+    """Layer of each point by taking away the undominated ones again and again."""
+    left, out, n = dict(points), {}, 0
+    while left:
+        n += 1
+        top = [k for k, p in left.items() if not any(dominates(q, p) for q in left.values())]
+        for k in top:
+            out[k] = n
+            del left[k]
+    return out
+
+
+@pytest.mark.parametrize("counted", [False, True])
+def test_layers_against_peeling(spark, counted):
+    r = random.Random(8)
+    t0 = datetime(2025, 1, 1)
+    rows = [(f"g{i % 3}", f"r{i:03d}", t0 + timedelta(hours=r.randrange(12)), r.randrange(8), r.choice([0, 1, 2, 99])) for i in range(120)]
+    df = spark.createDataFrame(rows, "g string, id string, t timestamp, u int, trust int")
+    fields = {str(i): F.col("u").bitwiseAND(F.lit(1 << i)) != 0 for i in range(3)}
+    for row in survivorship.layers(df, "g", "id", "t", fields, F.col("trust"), 2, counted).collect():
+        # Of each cell the latest, of these the smallest id, is what is left of it.
+        cells = {}
+        for g, key, t, u, trust in rows:
+            if g == row["group_key"]:
+                old = cells.get((u, trust))
+                if old is None or (-t.timestamp(), key) < (-old[0], old[1]):
+                    cells[u, trust] = (t.timestamp(), key)
+        points = {key: (u, t, trust) for (u, trust), (t, key) in cells.items()}
+        whole = lambda a, b: bin(a).count("1") >= bin(b).count("1") if counted else a & b == b  # noqa: B023, E731
+        differs = lambda a, b: bin(a).count("1") != bin(b).count("1") if counted else a != b  # noqa: B023, E731
+        dominates = lambda a, b: whole(a[0], b[0]) and a[1] >= b[1] and a[2] >= b[2] and (differs(a[0], b[0]) or a[1:] != b[1:])  # noqa: B023, E731
+        assert {c["record_id"]: c["layer"] for c in row["cells"]} == peeled(points, dominates)
+        assert max(c["layer"] for c in row["cells"]) >= 3
+
+
+def test_ties_of_string_ids_go_to_the_smaller(spark):
+    t0 = datetime(2025, 1, 1)
+    df = spark.createDataFrame([("g", "b", t0, "x"), ("g", "a", t0, "x"), ("g", "c", t0, None)], "g string, id string, t timestamp, v string")
+    assert survivorship.survivors(df, "g", "id", "t", {"v": F.col("v").isNotNull()}).first()["record_id"] == "a"
+
+
 def test_golden_records(spark):
     t0 = datetime(2025, 1, 1)
-    rows = [("a", 1, t0, "old name", "old text"), ("a", 2, t0 + timedelta(days=1), "new name", None), ("b", 3, t0, None, None)]
-    df = spark.createDataFrame(rows, "g string, id long, t timestamp, name string, text string")
-    got = {r["group_key"]: (r["name"], r["text"]) for r in survivorship.golden_records(df, "g", "id", "t", {"name": F.col("name").isNotNull(), "text": F.col("text").isNotNull()}).collect()}
-    assert got == {"a": ("new name", "old text"), "b": (None, None)}
+    rows = [
+        ("a", 1, t0, "old name", "old text", None), ("a", 2, t0 + timedelta(days=1), "new name", None, None), ("b", 3, t0, None, None, None),
+        # Three layers: the newest has the name alone, as has the next; the text is in the second layer, the place in the third.
+        ("c", 4, t0 + timedelta(days=9), "n1", None, None), ("c", 5, t0 + timedelta(days=8), None, "t2", None), ("c", 6, t0 + timedelta(days=7), None, None, "p3"), ("c", 7, t0 + timedelta(days=1), "n4", None, None),
+    ]
+    df = spark.createDataFrame(rows, "g string, id long, t timestamp, name string, text string, place string")
+    fields = {f: F.col(f).isNotNull() for f in ("name", "text", "place")}
+    got = {r["group_key"]: (r["name"], r["text"], r["place"]) for r in survivorship.golden_records(df, "g", "id", "t", fields).collect()}
+    # In group a neither record dominates the other, so the policy takes the later name.
+    assert got == {"a": ("new name", "old text", None), "b": (None, None, None), "c": ("n1", "t2", "p3")}
+    assert {r["field"]: r["layer"] for r in survivorship.survivors(df.filter("g = 'c'"), "g", "id", "t", fields, None, 2, True).collect()} == {"name": 1, "text": 2, "place": 3}
 
 
 # Linkage ------------------------------------------------------------------------------------------
