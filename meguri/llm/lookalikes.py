@@ -48,6 +48,10 @@ COUNTER_KANA = "ノケヶカヵツッガヂ"
 OTHER_DOUBLES = {"ʼ": "'", "ʹ": "'", "‘": "'", "’": "'", "“": '"', "”": '"', "∙": "・", "•": "・", "･": "・", "゛": "゙", "゜": "゚", "ㇼ": "リ"}
 
 IGNORABLE = regex.compile(r"\p{Default_Ignorable_Code_Point}|\p{Cf}|\p{Cc}(?<![\t\n\r\f\v])")
+#: Joiners and the emoji selector, and around what they are part of the spelling.
+JOINERS = "\u200c\u200d\ufe0f"
+JOINED_SCRIPTS = regex.compile(r"[\p{Script=Arabic}\p{Script=Syriac}\p{Script=Mongolian}\p{Script=Devanagari}\p{Script=Bengali}\p{Script=Gurmukhi}\p{Script=Gujarati}\p{Script=Oriya}\p{Script=Tamil}\p{Script=Telugu}\p{Script=Kannada}\p{Script=Malayalam}\p{Script=Sinhala}\p{Script=Khmer}\p{M}]")
+EMOJI = regex.compile(r"[\p{Extended_Pictographic}\p{Emoji_Modifier}\ufe0f]")
 SPACES = regex.compile(r"[\p{White_Space}](?<! )")
 ALPHABETIC = regex.compile(r"[\p{Script=Latin}\p{Script=Greek}\p{Script=Cyrillic}\p{Script=Armenian}\p{M}]+")
 CJK = regex.compile(r"[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}ー]")
@@ -56,6 +60,14 @@ WIDENED = {"Han": {"Han", "Hanb", "Jpan", "Kore"}, "Hiragana": {"Hiragana", "Jpa
 SCRIPTS = {name: regex.compile(rf"\p{{Script={name}}}") for name in ("Latin", "Greek", "Cyrillic", "Armenian", "Han", "Hiragana", "Katakana", "Hangul", "Bopomofo")}
 
 
+def joins(text: str, at: int) -> bool:
+    """Whether the joiner or selector at a place belongs to the spelling: inside a word of a joining script or an emoji."""
+    before, after = text[at - 1 : at], text[at + 1 : at + 2]
+    if text[at] == "\ufe0f":
+        return bool(EMOJI.match(before)) and not before.isascii()
+    return bool(JOINED_SCRIPTS.match(before) and JOINED_SCRIPTS.match(after)) or bool(text[at] == "\u200d" and EMOJI.match(before) and EMOJI.match(after))
+
+
 @lru_cache(maxsize=1 << 16)
 def script_of(ch: str) -> str:
     """The script of a character; Common for those of none or of many."""
@@ -97,24 +109,48 @@ def plain_char(ch: str) -> str:
     return ch
 
 
+#: Of each alphabetic script, its letter with the look of a Latin one.
+DOUBLE_IN = {name: {latin: ch for ch, latin in LATIN_DOUBLES.items() if script_of(ch) == name} for name in ("Greek", "Cyrillic", "Armenian")}
+
+
+def spelled_in(token: str, script: str) -> str | None:
+    """The token with every letter in ``script``; None if a letter has no double there."""
+    out = []
+    for ch in token:
+        own = script_of(ch)
+        if own not in (script, "Common"):
+            ch = LATIN_DOUBLES.get(ch, ch)
+            if script != "Latin":
+                ch = DOUBLE_IN[script].get(ch)
+            elif script_of(ch) != "Latin":
+                return None
+        if ch is None:
+            return None
+        out.append(ch)
+    return "".join(out)
+
+
 def _alphabetic(text: str) -> str:
-    """Latin spelling for mixed-script tokens and whole-script confusables."""
+    """The spelling in one script for mixed-script tokens and whole-script confusables.
+
+    A mixed token takes the one script that all of it can be written in, Latin
+    if several are possible, and stays if none is. A token wholly in another
+    script whose letters all have a Latin double is Latin, unless that script
+    is really used in the value.
+    """
     if text.isascii():
         return text
     # A script with a letter of its own somewhere in the value is really used there.
-    used = {script_of(ch) for ch in text if script_of(ch) in ("Greek", "Cyrillic", "Armenian") and ch not in LATIN_DOUBLES}
+    used = {script_of(ch) for ch in text if script_of(ch) in DOUBLE_IN and ch not in LATIN_DOUBLES}
 
     def spell(match: regex.Match) -> str:
         token = match[0]
-        scripts = resolved_scripts(token)
-        foreign = {script_of(ch) for ch in token} & {"Greek", "Cyrillic", "Armenian"}
-        if not foreign:
+        foreign = [name for name in DOUBLE_IN if any(script_of(ch) == name for ch in token)]
+        if not foreign or resolved_scripts(token) and used.intersection(foreign):
             return token
-        mixed = scripts is not None and not scripts
-        whole = all(ch in LATIN_DOUBLES or script_of(ch) in ("Latin", "Common") for ch in token)
-        if mixed and (whole or any(script_of(ch) == "Latin" for ch in token)) or whole and not foreign & used:
-            return "".join(LATIN_DOUBLES.get(ch, ch) for ch in token)
-        return token
+        mixed = not resolved_scripts(token)
+        spellings = [spelled_in(token, name) for name in (["Latin", *foreign] if mixed else ["Latin"])]
+        return next((t for t in spellings if t is not None), token)
 
     return ALPHABETIC.sub(spell, text)
 
@@ -124,7 +160,12 @@ def _katakana_like(ch: str) -> bool:
 
 
 def _kana_and_kanji(text: str) -> str:
-    """Kanji, kana and strokes spelled in the script of the run they stand in."""
+    """Kanji, kana and strokes spelled in the script of the run they stand in.
+
+    Han and both kana resolve to one writing system, so the sets of a whole
+    Japanese token never conflict; here the token is the run of one script, and
+    the letters beside a confusable one tell which run it belongs to.
+    """
     if not CJK.search(text):
         return text
     out = list(text)
@@ -166,7 +207,7 @@ def plain(text: str | None) -> str | None:
     """The plain spelling of ``text``; None for None."""
     if not text or text.isascii() and text.isprintable():
         return text
-    text = IGNORABLE.sub("", text)
+    text = IGNORABLE.sub(lambda m: m[0] if m[0] in JOINERS and joins(m.string, m.start()) else "", text)
     text = SPACES.sub(" ", text)
     text = "".join(plain_char(ch) for ch in text)
     text = unicodedata.normalize("NFC", text)
@@ -176,7 +217,8 @@ def plain(text: str | None) -> str | None:
 
 
 def _plain_series(texts: pd.Series) -> pd.Series:
-    return texts.map(plain, na_action="ignore")
+    # Each different value of a batch once.
+    return texts.map({t: plain(t) for t in texts.dropna().unique()}, na_action="ignore").astype(object)
 
 
 #: Texts of printable ASCII alone are plain as they stand and never leave the JVM.

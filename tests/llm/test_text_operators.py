@@ -75,6 +75,14 @@ def test_ids_of_awkward_rows(spark):
         ("奥\U000e0100山", "奥山"),
         ("Café Étoile", "Café Étoile"),
         ("①㈱", "①㈱"),
+        ("Мoсква", "Москва"),
+        ("Рoссия и Мoсква", "Россия и Москва"),
+        ("Αθήvα", "Αθήνα"),
+        ("LАБ", "LАБ"),
+        ("می\u200cخواهم", "می\u200cخواهم"),
+        ("क्\u200dष", "क्\u200dष"),
+        ("山\u200d川", "山川"),
+        ("👨\u200d👩\u200d👧", "👨\u200d👩\u200d👧"),
     ],
 )
 def test_plain_spelling(written, wanted):
