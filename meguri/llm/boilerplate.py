@@ -11,9 +11,9 @@ printing, copyright), which running text about a sight does not perform.
 
 from __future__ import annotations
 
-import html
 import re
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -50,7 +50,7 @@ INVISIBLE_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I
 FURNITURE_CLASS = re.compile(r"(?:^|[\s_-])(?:nav|menu|breadcrumbs?|footer|sidebar|cookie|consent|banner|share|social|related|pager|pagination|advert|ads?|promo|newsletter|login|search|skip|toolbar|copyright)(?:$|[\s_-])", re.I)
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     tag: str
     attributes: dict[str, str]
@@ -63,41 +63,72 @@ class TreeBuilder(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = Node("html", {})
-        self.here = self.root
+        self.root = self.here = Node("html", {})
+        #: How many elements of each tag are open, so that only a tag that is there is looked for.
+        self.open: Counter[str] = Counter()
+        #: The element that markup may not close.
+        self.floor = self.root
+
+    def up_to(self, node: Node) -> None:
+        """Closes all that is open below ``node``."""
+        while self.here is not node and self.here.parent is not None:
+            self.open[self.here.tag] -= 1
+            self.here = self.here.parent
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         closes, scope = IMPLIED_END.get(tag, (set(), set()))
         if tag in CLOSES_P:
             closes, scope = closes | {"p"}, scope | {"table", "button"}
-        node: Node | None = self.here
-        last = None
-        while node is not None and node.tag not in scope:
-            if node.tag in closes:
-                last = node
-            node = node.parent
-        if last is not None and last.parent is not None:
-            self.here = last.parent
+        if any(self.open[t] > 0 for t in closes):
+            node, last = self.here, None
+            while node is not self.floor and node.parent is not None and node.tag not in scope:
+                if node.tag in closes:
+                    last = node
+                node = node.parent
+            if last is not None:
+                self.up_to(last.parent)
         new = Node(tag, {k: v or "" for k, v in attrs}, self.here)
         self.here.children.append(new)
         if tag not in VOID:
             self.here = new
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.here.tag == tag and self.here.parent is not None:
-            self.here = self.here.parent
+        if tag not in VOID and self.here.tag == tag and self.here is not self.floor and self.here.parent is not None:
+            self.up_to(self.here.parent)
 
     def handle_endtag(self, tag: str) -> None:
-        node: Node | None = self.here
-        while node is not None and node.tag != tag:
+        if self.open[tag] <= 0:
+            return
+        node = self.here
+        while node is not self.floor and node.tag != tag and node.parent is not None:
             node = node.parent
-        if node is not None and node.parent is not None:
-            self.here = node.parent
+        if node is not self.floor and node.parent is not None:
+            self.up_to(node.parent)
 
     def handle_data(self, data: str) -> None:
         self.here.children.append(data)
 
+    def element(self, slot: str, text: str) -> None:
+        """An extracted element as a block of its own, whatever its text opens or closes. Text without markup is data as it stands."""
+        self.handle_starttag("div", [("data-slot", slot)])
+        around, self.floor = self.floor, self.here
+        wrapper = self.here
+        if LEFT_MARKUP.search(text):
+            self.feed(text)
+            self.goahead(True)
+            self.reset()
+        else:
+            self.handle_data(text)
+        self.up_to(wrapper)
+        self.floor = around
+        self.handle_endtag("div")
+
+
+#: Markup left in an element; a lone angle bracket or ampersand is text.
+LEFT_MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|<!|&(?:#\d+|#x[0-9A-Fa-f]+|[A-Za-z]{2,8});")
+
 
 @dataclass
 class Block:
@@ -119,6 +150,10 @@ def width(text: str) -> int:
     return sum(2 if unicodedata.east_asian_width(ch) in "WF" else 1 for ch in text)
 
 
+#: Marks of a line break and of a space that the markup asks for, while a block is gathered.
+BREAK, KEPT_SPACE = "\x00", "\x01"
+
+
 class Renderer:
     """Emits the visible text of a tree, block by block."""
 
@@ -127,27 +162,37 @@ class Renderer:
         self.parts: list[str] = []
         self.linked = 0
         self.slot: str | None = None
+        self.items: dict[int, int] = {}  # of each ordered list, its last number
 
     def flush(self, furniture: bool, bullet: str = "") -> None:
         raw = "".join(self.parts)
-        # A line break that the markup asked for stays; other white space closes up.
-        text = "\n".join(" ".join(line.split()) for line in raw.split("\x00"))
-        text = text.strip("\n ")
-        if text:
+        # A line break or space that the markup asked for stays; other white space closes up.
+        text = "\n".join(" ".join(line.split()).replace(KEPT_SPACE, " ").rstrip() for line in raw.split(BREAK)).strip("\n")
+        if text.strip():
             self.blocks.append(Block(bullet + text, self.slot, min(1.0, self.linked / max(1, len(text))), furniture))
         self.parts, self.linked = [], 0
 
-    def walk(self, root: Node) -> None:
-        """Depth first, with an explicit stack: pages nest without bound."""
-        stack: list[tuple[str, Node | str, bool, bool, str]] = [("open", root, False, False, "")]
+    def bullet(self, node: Node) -> str:
+        parent = node.parent
+        if parent is None or parent.tag != "ol":
+            return "- "
+        start, value = parent.attributes.get("start", ""), node.attributes.get("value", "")
+        last = self.items.get(id(parent), int(start) - 1 if re.fullmatch(r"-?\d{1,9}", start) else 0)
+        self.items[id(parent)] = int(value) if re.fullmatch(r"-?\d{1,9}", value) else last + 1
+        return f"{self.items[id(parent)]}. "
+
+    def walk(self, root: Node, in_cell: bool = False) -> None:
+        """Depth first, with an explicit stack: pages nest without bound. In a cell, tables run on as blocks."""
+        stack: list[tuple[bool, Node | str, bool, bool, bool, str]] = [(True, root, False, False, False, "")]
         while stack:
-            what, node, furniture, link, bullet = stack.pop()
+            opens, node, furniture, link, kept, bullet = stack.pop()
             if isinstance(node, str):
-                self.parts.append(node.replace("\x00", ""))
+                text = node.replace(BREAK, "").replace(KEPT_SPACE, "")
+                self.parts.append(text.expandtabs().replace("\n", BREAK).replace(" ", KEPT_SPACE) if kept else text)
                 if link:
                     self.linked += len(node.strip())
                 continue
-            if what == "close":
+            if not opens:
                 if node.tag in BLOCK:
                     self.flush(furniture, bullet)
                 if "data-slot" in node.attributes:
@@ -156,59 +201,65 @@ class Renderer:
             if hidden(node):
                 continue
             if node.tag == "br":
-                self.parts.append("\x00")
+                self.parts.append(BREAK)
                 continue
-            furniture = furniture or node.tag in FURNITURE_PARTS or bool(FURNITURE_CLASS.search(node.attributes.get("class", "") + " " + node.attributes.get("id", "")))
+            named = node.attributes and node.attributes.get("class", "") + " " + node.attributes.get("id", "")
+            furniture = furniture or node.tag in FURNITURE_PARTS or bool(named and FURNITURE_CLASS.search(named))
             if node.tag in BLOCK:
                 self.flush(furniture)
             if "data-slot" in node.attributes:
                 self.slot = node.attributes["data-slot"]
-            if node.tag == "table":
-                text = self.table(node)
-                if text:
-                    self.blocks.append(Block(text, self.slot, 0.0, furniture))
+            if node.tag == "table" and not in_cell:
+                self.blocks += [Block(text, self.slot, 0.0, furniture) for text in self.table(node) if text]
                 continue
-            bullet = ""
-            if node.tag == "li" and node.parent is not None:
-                bullet = f"{sum(isinstance(c, Node) and c.tag == 'li' for c in node.parent.children[: node.parent.children.index(node) + 1])}. " if node.parent.tag == "ol" else "- "
-            link = link or node.tag == "a"
-            stack.append(("close", node, furniture, link, bullet))
-            stack += [("open", child, furniture, link, "") for child in reversed(node.children)]
-
-    def table(self, node: Node) -> str:
-        """The rows of a table, its cells padded to common columns."""
+            link, kept = link or node.tag == "a", kept or node.tag in ("pre", "textarea")
+            stack.append((False, node, furniture, link, kept, self.bullet(node) if node.tag == "li" else ""))
+            stack += [(True, child, furniture, link, kept, "") for child in reversed(node.children)]
+
+    def table(self, node: Node) -> list[str]:
+        """What stands in a table outside its cells, its caption first, and its rows with the cells padded to common columns."""
         rows: list[list[str]] = []
-        stack: list[Node] = [node]
+        outside: list[str] = []
+        stack: list[Node | str] = [node]
         while stack:
             here = stack.pop()
-            if hidden(here):
-                continue
-            if here.tag == "tr":
-                rows.append([" ".join(visible_text(c).split()) for c in here.children if isinstance(c, Node) and c.tag in ("td", "th")])
+            if isinstance(here, str):
+                outside.append(" ".join(here.split()))
+            elif hidden(here):
                 continue
-            stack += [c for c in reversed(here.children) if isinstance(c, Node)]
+            elif here.tag == "tr":
+                rows.append([" ".join(visible_text(c, True).split()) for c in here.children if isinstance(c, Node) and c.tag in ("td", "th")])
+                stack += [c for c in reversed(here.children) if isinstance(c, str) or c.tag not in ("td", "th")]
+            elif here.tag in ("table", "thead", "tbody", "tfoot", "colgroup", "col"):
+                stack += reversed(here.children)
+            else:
+                outside.append(visible_text(here, True))
         rows = [r for r in rows if any(r)]
         columns = max((len(r) for r in rows), default=0)
         wide = [max((width(r[i]) for r in rows if i < len(r)), default=0) for i in range(columns)]
-        return "\n".join("  ".join(cell + " " * (wide[i] - width(cell)) for i, cell in enumerate(r)).rstrip() for r in rows)
+        return [*outside, "\n".join("  ".join(cell + " " * (wide[i] - width(cell)) for i, cell in enumerate(r)).rstrip() for r in rows)]
 
 
-def visible_text(node: Node) -> str:
+def visible_text(node: Node, in_cell: bool = False) -> str:
     out = Renderer()
-    out.walk(node)
+    out.walk(node, in_cell)
     out.flush(False)
     return "\n".join(b.text for b in out.blocks)
 
 
+def rendered(builder: TreeBuilder) -> list[Block]:
+    out = Renderer()
+    out.walk(builder.root)
+    out.flush(False)
+    return out.blocks
+
+
 def render(markup: str) -> list[Block]:
     """The visible blocks of a page, in reading order."""
     builder = TreeBuilder()
     builder.feed(markup)
     builder.close()
-    out = Renderer()
-    out.walk(builder.root)
-    out.flush(False)
-    return out.blocks
+    return rendered(builder)
 
 
 # The acts of a website, as regular expressions over NFKC text in lower case.
@@ -326,39 +377,21 @@ def furniture(block: Block) -> bool:
     return False
 
 
-@lru_cache(maxsize=1 << 14)
 def furniture_text(text: str) -> bool:
     """:func:`furniture` of a single element of text, which may hold markup."""
-    blocks = render(f"<p>{text}</p>") if "<" in text or "&" in text else [Block(text, None, 0.0, False)]
-    blocks = [b for b in blocks if b.text.strip()]
-    return bool(blocks) and sum(len(b.text) for b in blocks if furniture(b)) * 2 > sum(len(b.text) for b in blocks)
-
-
-def page_markup(description: str | None, paragraphs: list[str | None] | None) -> str:
-    """A page of extracted elements as markup again, each element a block with its slot."""
-    parts = [] if description is None else [f'<p data-slot="description">{_inline(description)}</p>']
-    parts += [f'<p data-slot="{i}">{_inline(p)}</p>' for i, p in enumerate(paragraphs if paragraphs is not None else []) if p is not None]
-    return "<body>" + "".join(parts)
-
-
-def _inline(text: str) -> str:
-    """An element's text; markup left in it is kept, a lone angle bracket or ampersand is taken as text."""
-    return text if re.search(r"</?[A-Za-z][^<>]*>|&(?:#\d+|[A-Za-z]{2,8});", text) else html.escape(text, quote=False)
-
-
-MARKUP = re.compile(r"[<&]")
+    return judged_slots(text, None).get("description", False)
 
 
 def judged_slots(description: str | None, paragraphs: list[str | None] | None) -> dict[str, bool]:
     """Of each element of a page with visible text, whether it is furniture: the larger part of its rendered text decides."""
-    elements = [] if description is None else [("description", description)]
-    elements += [(str(i), p) for i, p in enumerate(paragraphs if paragraphs is not None else []) if p is not None]
-    if not any(MARKUP.search(text) for _, text in elements):
-        # Without markup the tree is one block an element, and rendering closes up its white space.
-        plain = [(slot, " ".join(text.replace("\x00", "").split())) for slot, text in elements]
-        return {slot: furniture(Block(text, slot, 0.0, False)) for slot, text in plain if text}
+    builder = TreeBuilder()
+    if description is not None:
+        builder.element("description", description)
+    for i, p in enumerate(paragraphs if paragraphs is not None else []):
+        if p is not None:
+            builder.element(str(i), p)
     weight: dict[str, list[int]] = {}
-    for block in render(page_markup(description, paragraphs)):
+    for block in rendered(builder):
         if block.slot is not None:
             at = weight.setdefault(block.slot, [0, 0])
             at[furniture(block)] += len(block.text)

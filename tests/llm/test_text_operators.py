@@ -148,10 +148,31 @@ def test_furniture(text, furniture):
     assert boilerplate.furniture_text(text) is furniture
 
 
-def test_fast_path_equals_rendering():
-    for text in ("a  b.", " x\n\ty ", "　全角　空白。", "Home | News | Maps"):
-        slow = [b for b in boilerplate.render(boilerplate.page_markup(None, [text]))]
-        assert " ".join(text.split()) == slow[0].text
+@pytest.mark.parametrize(
+    ("markup", "wanted"),
+    [
+        ("<ol><li><a>x</a></li><li><a>x</a></li></ol>", ["1. x", "2. x"]),
+        ("<ol start=3><li>a<li value=9>b<li>c</ol>", ["3. a", "9. b", "10. c"]),
+        ("<table><caption>Hours</caption><tr><td>Mon<td>9:00<tr><td>Sunday<td>-</table>", ["Hours", "Mon     9:00\nSunday  -"]),
+        ("<table>lost<tr><td>a<table><tr><td>b<td>c</table>d</table>", ["lost", "a b c d"]),
+        ("<pre>a\n  b\n\nc</pre>d   e", ["a\n  b\n\nc", "d e"]),
+        ("<p>a<div>b</p>c</div></div>d", ["a", "bc", "d"]),
+        ("<p>one<p>two &amp; three<br>four", ["one", "two & three\nfour"]),
+    ],
+)
+def test_rendering(markup, wanted):
+    assert [b.text for b in boilerplate.render(markup)] == wanted
+
+
+def test_rendering_of_deep_pages():
+    deep = "<table><tr><td>" * 3000 + "core" + "</table>" * 3000
+    assert [b.text for b in boilerplate.render(deep)] == ["core"]
+    assert [b.text for b in boilerplate.render("<div><span>" * 20000 + "core")] == ["core"]
+    assert len(boilerplate.render("<ul>" + "<li>x" * 20000)) == 20000
+
+
+def test_elements_keep_to_their_slots():
+    assert boilerplate.judged_slots("</div></body><p>Real text stands here, in a sentence.", ["<nav>Home</nav>", "a < b & c is what the sign says here.", "<div>Home | Maps | Contact</div>"]) == {"description": False, "0": True, "1": False, "2": True}
 
 
 def test_gate_of_the_act_patterns_loses_nothing(sf_dir):
