@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -177,8 +178,44 @@ class LanguageModel:
                 out[i] = known[row].sum(axis=0)
         return out
 
+    def segments(self, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
+        """The stretches ``(begin, end, language, confidence)`` of each text, in characters, that are each in one language.
+
+        The likeliest path over the text's words, by dynamic programming, where a change of language costs ``SWITCH``.
+        A text in one language is one stretch, one without a letter none."""
+        number: dict[str, int] = {}
+        spelled = [[(m.start(), m.end(), number.setdefault(m[0], len(number))) for m in WORDS.finditer(t)] for t in texts]
+        known = self.score_words([w.encode("utf-8") for w in number]) if number else np.zeros((0, len(self.languages)))
+        # What has no letter fits every language alike.
+        known[[i for w, i in number.items() if not LETTER.search(w)]] = 0.0
+        out = []
+        for text, words in zip(texts, spelled, strict=True):
+            if not LETTER.search(text) or foreign(text):
+                out.append([])
+                continue
+            here = known[[n for _, _, n in words]]
+            back = np.zeros(here.shape, np.int64)
+            total = here[0].copy()
+            for i in range(1, len(here)):
+                best = int(total.argmax())
+                back[i] = np.where(total >= total[best] - SWITCH, np.arange(len(total)), best)
+                total = np.maximum(total, total[best] - SWITCH) + here[i]
+            path = [int(total.argmax())]
+            for i in range(len(here) - 1, 0, -1):
+                path.append(int(back[i][path[-1]]))
+            path.reverse()
+            edges = [0, *[i for i in range(1, len(path)) if path[i] != path[i - 1]], len(path)]
+            found = []
+            for a, b in zip(edges, edges[1:], strict=False):
+                begin, end = words[a][0], words[b - 1][1]
+                score = here[a:b].sum(axis=0) * min(1.0, EVIDENCE_BYTES / max(1, len(text[begin:end].encode("utf-8"))))
+                e = np.exp(score - score.max())
+                found.append((begin, end, self.languages[path[a]], round(float(e[path[a]] / e.sum()), 6)))
+            out.append(found)
+        return out
+
     def label(self, texts: list[str]) -> tuple[list[str | None], list[float]]:
-        """The language of each text and a confidence in it; None and 0 where there is no letter."""
+        """The language of each text and a confidence in it; None and 0 where there is no letter, or most are of a script of no known language."""
         scores = self.score(texts)
         sizes = np.array([len(t.encode("utf-8")) for t in texts]) if texts else np.zeros(0)
         # The evidence of long texts is damped: neighbouring words aren't independent.
@@ -186,11 +223,22 @@ class LanguageModel:
         best = scores.argmax(axis=1) if len(texts) else []
         e = np.exp(damped - damped.max(axis=1, keepdims=True)) if len(texts) else damped
         sure = np.round(e.max(axis=1) / e.sum(axis=1), 6) if len(texts) else []
-        lettered = [LETTER.search(t) is not None for t in texts]
+        lettered = [LETTER.search(t) is not None and not foreign(t) for t in texts]
         return [self.languages[k] if ok else None for k, ok in zip(best, lettered, strict=True)], [float(c) if ok else 0.0 for c, ok in zip(sure, lettered, strict=True)]
 
 
+#: The log-odds that a change of language inside a text has to make up for.
+SWITCH = 12.0
 LETTER = re.compile(r"[^\W\d_]")
+#: Letters of the scripts that the languages are written in.
+KNOWN_LETTER = regex.compile(r"[\p{Latin}\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}ー]")
+
+
+def foreign(text: str) -> bool:
+    """Whether most letters of a text are of a script that none of the languages is written in."""
+    if text.isascii():
+        return False
+    return len(LETTER.findall(text)) > 2 * len(KNOWN_LETTER.findall(text))
 
 
 def fit(samples: dict[str, list[str]], vocabulary_path: str = f"{DEFAULT_TOKENIZERS}/{VOCABULARY}") -> LanguageModel:
@@ -289,7 +337,25 @@ def label_texts(df: DataFrame, text: str, model: LanguageModel) -> DataFrame:
 
     schema = T.StructType([T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType())])
     out = F.pandas_udf(run, schema)(F.col(f"`{text}`").cast("string"))
-    return df.withColumn("_l", out).withColumns({"language": F.col("_l.language"), "language_confidence": F.col("_l.confidence")}).drop("_l")
+    helper = "_" + "_".join(df.columns)  # longer than any of the names, so none of them
+    return df.withColumn(helper, out).withColumns({"language": F.col(f"`{helper}`.language"), "language_confidence": F.col(f"`{helper}`.confidence")}).drop(helper)
+
+
+def label_segments(df: DataFrame, text: str, model: LanguageModel) -> DataFrame:
+    """``df`` with ``language_segments``, an array of ``(begin, end, language, confidence)``: the stretches of ``text``,
+    in characters, that are each in one language.
+
+    Empty where the text is null, empty, without a letter, or mostly in a script
+    of no known language. Texts are taken whole, of any length; rows are kept.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(texts: pd.Series) -> pd.Series:
+        found = shared.value.segments(texts.fillna("").tolist())
+        return pd.Series([[dict(zip(("begin", "end", "language", "confidence"), s, strict=True)) for s in one] for one in found], index=texts.index, dtype=object)
+
+    stretch = T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType())])
+    return df.withColumn("language_segments", F.pandas_udf(run, T.ArrayType(stretch))(F.col(f"`{text}`").cast("string")))
 
 
 SEGMENTS = T.StructType(

@@ -241,6 +241,28 @@ def test_labels_of_awkward_rows(spark, model):
     assert got == {1: "en", 2: None, 3: None, 4: None, 5: "ja"}
 
 
+EN = "The harbour opens at nine and the path behind the temple is steep and quiet. "
+FR = "Le sentier derrière le temple est calme et les visiteurs viennent au printemps pour voir les fleurs. "
+JA = "港の裏手に回ると、霧浜の町と柚見の田畑を見下ろせます。"
+
+
+def test_segments_of_mixed_texts(spark, model):
+    rows = [(1, EN + FR), (2, JA + EN), (3, EN), (4, None), (5, "12 !"), (6, "Москва стоит на реке."), (7, EN + JA + FR)]
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("language", F.lit("x"))
+    got = {r["id"]: r["language_segments"] for r in language.label_segments(df, "text", model).collect()}
+    assert {k: [s["language"] for s in v] for k, v in got.items()} == {1: ["en", "fr"], 2: ["ja", "en"], 3: ["en"], 4: [], 5: [], 6: [], 7: ["en", "ja", "fr"]}
+    # The borders are those that are known, give or take a word.
+    assert abs(got[1][0]["end"] - len(EN)) <= 12 and abs(got[2][0]["end"] - len(JA)) <= 6
+    assert all(v[0]["begin"] == 0 and all(a["end"] == b["begin"] for a, b in zip(v, v[1:])) for v in got.values() if v)
+    assert min(s["confidence"] for v in got.values() for s in v) > 0.5
+
+
+def test_scripts_of_no_known_language(spark, model):
+    df = spark.createDataFrame([(1, "Москва стоит на реке."), (2, "هذا نص"), (3, EN)], "id long, text string").withColumn("_l", F.lit(1))
+    out = language.label_texts(df, "text", model)
+    assert {r["id"]: r["language"] for r in out.collect()} == {1: None, 2: None, 3: "en"} and "_l" in out.columns
+
+
 def test_wrong_labels(spark, model):
     ja, en = "港の裏手に回ると、霧浜の町と柚見の田畑を見下ろせます。", "Behind the harbour you can look down on the fields of the town."
     pages = [("a", "ja_JP", ja, [ja, ja]), ("b", None, ja, [ja, en]), ("c", "fr", None, [en]), ("d", "und", None, ["Back to top"]), ("e", "en", None, None), ("c", "fr", None, [en])]
