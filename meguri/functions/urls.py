@@ -34,3 +34,11 @@ def pick_canonical(fetched: Column, declared: Column) -> Column:
 def urls_in(text: Column) -> Column:
     """All web addresses in a text."""
     return F.regexp_extract_all(text, F.lit(r"(https?://[^\s<>\"'）)」]+)"), 1)
+
+
+def of_portal(url: Column, domains: list[str]) -> Column:
+    """Whether an address holds one of the given pieces of portals' addresses; false for null."""
+    found = F.lit(False)
+    for domain in domains:
+        found = found | F.contains(url, F.lit(domain))
+    return F.coalesce(found, F.lit(False))

@@ -70,3 +70,41 @@ def layered(languages: list[str], *layers: tuple[str, Column]) -> Column:
         source = F.coalesce(*[F.when(F.coalesce(F.element_at(m, lang) != "", F.lit(False)), F.lit(name)) for name, m in layers])
         entries += [F.lit(lang), F.struct(text.alias("text"), source.alias("source"))]
     return F.create_map(*entries)
+
+
+def fill(base: DataFrame, add: DataFrame, key: str, fields: list[str], lists: list[str] | None = None) -> DataFrame:
+    """``base`` with its empty fields filled from ``add``, lists united, and the records that only ``add`` has, marked ``inserted``.
+
+    What ``base`` has is kept. One row a key on either side; the empty text counts as missing.
+    """
+    lists = lists or []
+    a, b = (df.select(key, *[F.col(c).alias(f"{side}_{c}") for c in [*fields, *lists]], F.lit(True).alias(f"{side}_here")) for side, df in (("a", base), ("b", add)))
+    none = lambda c: F.coalesce(c, F.array())
+    out = [filled(F.col(f"a_{c}"), F.col(f"b_{c}")).alias(c) for c in fields]
+    out += [F.array_distinct(F.concat(none(F.col(f"a_{c}")), none(F.col(f"b_{c}")))).alias(c) for c in lists]
+    return a.join(b, key, "full_outer").select(key, *out, F.col("a_here").isNull().alias("inserted"))
+
+
+def override(base: DataFrame, manual: DataFrame, key: str, field: str) -> DataFrame:
+    """``(key, field, out_of_scope)``: a manual value fills an empty one, a manual null takes the record out of scope."""
+    named = manual.select(key, F.col(field).alias("_manual"), F.lit(True).alias("_named"))
+    joined = base.join(named, key, "left")
+    out = F.coalesce(F.col("_named") & F.col("_manual").isNull(), F.lit(False))
+    value = F.when(out, F.lit(None)).when(F.col(field) != "", F.col(field)).otherwise(F.coalesce("_manual", F.col(field)))
+    return joined.select(key, value.alias(field), out.alias("out_of_scope"))
+
+
+def nested_rows(documents: DataFrame, levels: list[str]) -> DataFrame:
+    """The rows of the innermost of nested lists, with the columns of everything around them; outer names yield to inner ones."""
+    for level in levels:
+        fields = documents.schema[level].dataType.elementType.names
+        outer = [c for c in documents.columns if c != level and c not in fields]
+        documents = documents.select(*outer, F.explode(level).alias("_row")).select(*outer, *[F.col(f"_row.{f}").alias(f) for f in fields])
+    return documents
+
+
+def out_of_scope(old: DataFrame, new: DataFrame, targets: DataFrame, key: str, value: str) -> DataFrame:
+    """``(key, fault)`` of records in both runs: changed though no target, or a target and unchanged."""
+    both = old.select(key, F.col(value).alias("_old")).join(new.select(key, F.col(value).alias("_new")), key)
+    marked = both.join(targets.select(key).distinct().withColumn("_target", F.lit(True)), key, "left").select(key, (~F.col("_old").eqNullSafe(F.col("_new"))).alias("changed"), F.coalesce("_target", F.lit(False)).alias("target"))
+    return marked.filter("changed <> target").select(key, F.when(F.col("changed"), "changed outside").otherwise("target unchanged").alias("fault"))

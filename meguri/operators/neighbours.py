@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from meguri.functions.cells import haversine_m
+from meguri.functions.cells import haversine_m, valid
+from meguri.operators.spatial import within_distance
 
 
 def wkt_point(text: Column) -> Column:
@@ -16,28 +17,22 @@ def wkt_point(text: Column) -> Column:
     return F.when(text.rlike(pattern), F.struct(number(2).alias("lat"), number(1).alias("lng")))
 
 
-def cell(lat: Column, lng: Column, step: float) -> list[Column]:
-    """The row and column of the grid of ``step`` degrees."""
-    return [F.floor(lat / step).cast("long").alias("cy"), F.floor(lng / step).cast("long").alias("cx")]
+def usable_position(at: Column) -> Column:
+    """A struct of lat and lng, null if it is no position on the globe."""
+    return F.when(valid(at["lat"], at["lng"]), F.struct(at["lat"].alias("lat"), at["lng"].alias("lng")))
 
 
-def around(step_rows: int = 1, step_columns: int = 1) -> Column:
-    """The offsets of a cell's neighbours and itself."""
-    return F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y in range(-step_rows, step_rows + 1) for x in range(-step_columns, step_columns + 1)])
+def first_position(**chain: Column) -> Column:
+    """The first position of a chain of fallbacks that is not null, as a struct of lat, lng and precision, the name of its link."""
+    where = F.coalesce(*chain.values())
+    precision = F.coalesce(*[F.when(at.isNotNull(), F.lit(name)) for name, at in chain.items()], F.lit("none"))
+    return F.struct(where["lat"].alias("lat"), where["lng"].alias("lng"), precision.alias("precision"))
 
 
-def grid_pairs(left: DataFrame, right: DataFrame, radius_m: float, step: float, columns: int = 2) -> DataFrame:
-    """``(left_key, right_key, distance_m)`` within ``radius_m``, of tables ``(key, lat, lng)``.
-
-    ``step`` degrees of latitude must be at least the radius, and ``columns``
-    steps of longitude too: two up to 60 degrees from the equator. The join is
-    on cells, an equality.
-    """
-    a = left.select(F.col("key").alias("left_key"), F.col("lat").alias("la"), F.col("lng").alias("lo"), *cell(F.col("lat"), F.col("lng"), step))
-    b = right.select(F.col("key").alias("right_key"), F.col("lat").alias("rla"), F.col("lng").alias("rlo"), *cell(F.col("lat"), F.col("lng"), step))
-    b = b.withColumn("o", F.explode(around(1, columns))).select("right_key", "rla", "rlo", (F.col("cy") + F.col("o.dy")).alias("cy"), (F.col("cx") + F.col("o.dx")).alias("cx"))
-    near = a.join(b, ["cy", "cx"]).withColumn("distance_m", haversine_m(F.col("la"), F.col("lo"), F.col("rla"), F.col("rlo")))
-    return near.filter(F.col("distance_m") <= radius_m).select("left_key", "right_key", "distance_m")
+def grid_pairs(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
+    """``(left_key, right_key, distance_m)`` within ``radius_m``, of tables ``(key, lat, lng)``, at every latitude and over the date line."""
+    at = lambda df: df.select("key", F.struct("lat", "lng").alias("at"))
+    return within_distance(at(left), at(right), radius_m, "key", "key", "at", "at")
 
 
 def nearest(pairs: DataFrame, k: int = 1) -> DataFrame:

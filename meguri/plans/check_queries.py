@@ -44,14 +44,16 @@ def leading_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH m AS (SELECT DISTINCT admin_name AS name FROM attractions WHERE length(admin_name) BETWEEN 2 AND 8), s AS (SELECT DISTINCT shukubo_id, address_jp FROM shukubo)
+    WITH m AS (SELECT DISTINCT admin_name AS name FROM attractions WHERE length(admin_name) >= 2), s AS (SELECT DISTINCT shukubo_id, address_jp FROM shukubo)
     SELECT shukubo_id, arg_max(name, (length(name), name)) AS municipality FROM s JOIN m ON contains(s.address_jp, m.name) GROUP BY shukubo_id
 """)
 def longest_municipality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-12, SORT-07: the longest municipality name in an address. The address's pieces meet the names by equality, so nothing is compared all with all."""
-    names = table(spark, sf_dir, "attractions").filter("length(admin_name) between 2 and 8").select(F.col("admin_name").alias("name")).distinct()
+    names = table(spark, sf_dir, "attractions").filter("length(admin_name) >= 2").select(F.col("admin_name").alias("name")).distinct()
+    # The lengths that names have, few whatever the number of names.
+    sizes = [r["n"] for r in names.select(F.length("name").alias("n")).distinct().orderBy("n").collect()]
     a = F.col("address_jp")
-    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(2), F.lit(8)), lambda n: F.substring(a, i, n))))
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), lambda i: F.transform(F.array(*[F.lit(n) for n in sizes]), lambda n: F.substring(a, i, n))))
     rows = table(spark, sf_dir, "shukubo").filter(a.isNotNull()).select("shukubo_id", "address_jp").distinct().select("shukubo_id", F.explode(F.array_distinct(pieces)).alias("name"))
     return rows.join(names, "name").groupBy("shukubo_id").agg(F.max_by("name", F.struct(F.length("name"), F.col("name"))).alias("municipality"))
 

@@ -159,7 +159,7 @@ GRID_SQL = f"SELECT l.key AS left_key, r.key AS right_key, {HAVERSINE_SQL.format
 """)
 def grid_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-07, GEO-01, GEO-03: hotels of two sources within 100 m, by grid cells wide enough at every latitude."""
-    pairs = neighbours.grid_pairs(_points(table(spark, sf_dir, "wikidata_hotels"), "qid"), _points(table(spark, sf_dir, "osm_hotels"), "osm_id"), 100.0, 0.001)
+    pairs = neighbours.grid_pairs(_points(table(spark, sf_dir, "wikidata_hotels"), "qid"), _points(table(spark, sf_dir, "osm_hotels"), "osm_id"), 100.0)
     return pairs.select("left_key", "right_key", F.round("distance_m", 3).alias("distance_m"))
 
 
@@ -170,7 +170,7 @@ def grid_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def nearest_station(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-09, WIN-02, GEO-04, TOOL-06: the nearest station within 5 km, with minutes on foot."""
-    pairs = neighbours.grid_pairs(_points(table(spark, sf_dir, "attractions"), "record_id"), _points(table(spark, sf_dir, "stations"), "qid"), 5000.0, 0.05)
+    pairs = neighbours.grid_pairs(_points(table(spark, sf_dir, "attractions"), "record_id"), _points(table(spark, sf_dir, "stations"), "qid"), 5000.0)
     best = neighbours.nearest(pairs, 1)
     return best.select(F.col("left_key").alias("record_id"), F.col("right_key").alias("station_qid"), F.round("distance_m").cast("int").alias("distance_m"), neighbours.walk_minutes(F.col("distance_m")).alias("walk_minutes"))
 
@@ -182,7 +182,7 @@ def nearest_station(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def five_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-10, WIN-03: the five nearest hotels of each station within 1500 m."""
-    pairs = neighbours.grid_pairs(_points(table(spark, sf_dir, "stations"), "qid"), _points(table(spark, sf_dir, "osm_hotels"), "osm_id"), 1500.0, 0.015)
+    pairs = neighbours.grid_pairs(_points(table(spark, sf_dir, "stations"), "qid"), _points(table(spark, sf_dir, "osm_hotels"), "osm_id"), 1500.0)
     return neighbours.nearest(pairs, 5).select(F.col("left_key").alias("station_qid"), F.col("right_key").alias("osm_id"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -212,7 +212,7 @@ def match_or_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     initial = lambda c: F.substring(c, 1, 1)
     named = lambda df, key: df.filter("name_ja <> '' and coordinates.lat between -90 and 90 and coordinates.lng between -180 and 180").select(F.struct(F.col(key).alias("id"), initial("name_ja").alias("i")).alias("key"), F.col("coordinates.lat").alias("lat"), F.col("coordinates.lng").alias("lng")).distinct()
     s, a = named(table(spark, sf_dir, "stations"), "qid"), named(table(spark, sf_dir, "attractions"), "record_id")
-    pairs = neighbours.grid_pairs(s, a, 200.0, 0.002).filter("left_key.i = right_key.i").select(F.col("left_key.id").alias("left_key"), F.col("right_key.id").alias("right_key"), "distance_m")
+    pairs = neighbours.grid_pairs(s, a, 200.0).filter("left_key.i = right_key.i").select(F.col("left_key.id").alias("left_key"), F.col("right_key.id").alias("right_key"), "distance_m")
     best = neighbours.nearest(pairs, 1)
     return s.select(F.col("key.id").alias("qid")).distinct().join(best.select(F.col("left_key").alias("qid"), F.col("right_key").alias("record_id")), "qid", "left")
 
@@ -225,7 +225,7 @@ def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-02, ER-01: verdicts on near hotels by phone and name; the SQL dialect's edit distance counts bytes, so this is tested against brute force."""
     w = table(spark, sf_dir, "wikidata_hotels").select("qid", "name_ja", F.col("phone").alias("wp"), "coordinates").distinct()
     o = table(spark, sf_dir, "osm_hotels").select("osm_id", "name", F.col("phone").alias("op"), "coordinates").distinct()
-    near = neighbours.grid_pairs(_points(w, "qid"), _points(o, "osm_id"), 100.0, 0.001).select(F.col("left_key").alias("qid"), F.col("right_key").alias("osm_id"))
+    near = neighbours.grid_pairs(_points(w, "qid"), _points(o, "osm_id"), 100.0).select(F.col("left_key").alias("qid"), F.col("right_key").alias("osm_id"))
     joined = near.join(w.drop("coordinates"), "qid").join(o.drop("coordinates"), "osm_id")
     return joined.select("qid", "osm_id", resolve.match_decision(F.col("wp"), F.col("op"), F.col("name_ja"), F.col("name")).alias("verdict")).filter("verdict is not null")
 

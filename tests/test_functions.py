@@ -151,3 +151,40 @@ def test_chunks_against_plain_version(seed):
     r = random.Random(seed)
     t = "".join(r.choice(["word ", "文。", "End. ", "\n\n", "x" * 30, " ", "あ" * 50]) for _ in range(r.randrange(200)))
     assert text.chunk(t) == plain_chunks(t)
+
+
+# Pages and loose JSON -----------------------------------------------------------------------------
+
+
+def test_page_fields_and_items(spark):
+    from meguri.functions import pages
+
+    markup = """<HTML lang=ja><title>A &amp; B</title><meta property="og:description" content="what  it is"><link rel="x canonical" href="/c">
+        <script type="application/ld+json">[{"@graph": [{"@type": ["Thing", "Festival"], "name": {"@value": "F"}, "startDate": "2025-01-02", "location": {"name": "Hall", "address": [{"addressRegion": "R", "streetAddress": "1"}], "geo": {"latitude": "35.1", "longitude": 135}}}]}, {"@type": "Person"}]</script>
+        <script type="application/ld+json">{broken</script><script type="application/ld+json">{"@type": "Museum", "name": ["M"], "geo": {"latitude": "x", "longitude": 1}, "address": "Town"}</script>
+        <a href="d/e">x</a><a href="d/e">y</a><a href="http://o.example/">z</a><img data-src="i.png"><h2> a <b>b</b> </h2>"""
+    df = spark.createDataFrame([(markup, "https://s.example/p/"), (None, "https://s.example/"), ("", None)], "m string, u string")
+    full, none, empty = (r["p"] for r in df.select(pages.page_fields(F.col("m"), F.col("u")).alias("p")).collect())
+    assert (full["title"], full["language"], full["description"], full["canonical"]) == ("A & B", "ja", "what it is", "https://s.example/c")
+    assert full["links"] == ["https://s.example/p/d/e", "http://o.example/"] and full["images"] == ["https://s.example/p/i.png"] and full["headings"] == ["a b"]
+    event, museum = full["items"]
+    assert (event["type"], event["name"], event["start_date"], event["location"], event["address"], event["lat"], event["lng"]) == ("Festival", "F", "2025-01-02", "Hall", "R 1", 35.1, 135.0)
+    assert (museum["type"], museum["name"], museum["address"], museum["lat"]) == ("Museum", "M", "Town", None)
+    assert none is None and empty["title"] is None and empty["items"] == []
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ('x {"a": 1} y {"b": 2}', '{"a": 1}'),
+        ('```json\n{"a": "x\ny", "b": {"c": "}"}}\n```', '{"a": "x\\ny", "b": {"c": "}"}}'),
+        ('{"a": "say "hi" now", "b": []}', '{"a": "say \\"hi\\" now", "b": []}'),
+        ("no object", None),
+        ("{never closed", None),
+        ("", None),
+    ],
+)
+def test_loose_objects(text, wanted):
+    from meguri.functions import pages
+
+    assert pages.loose_object(text) == wanted

@@ -70,7 +70,7 @@ def test_grid_pairs_and_nearest(spark):
     r = random.Random(5)
     a, b = [[(i, 35 + r.uniform(0, 0.02), 135 + r.uniform(0, 0.02)) for i in range(n)] for n in (60, 80)]
     schema = "key long, lat double, lng double"
-    pairs = neighbours.grid_pairs(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 100.0, 0.001)
+    pairs = neighbours.grid_pairs(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 100.0)
     assert {(x["left_key"], x["right_key"]) for x in pairs.collect()} == {(p[0], q[0]) for p in a for q in b if metres(p[1:], q[1:]) <= 100}
     top = neighbours.nearest(pairs, 2).collect()
     assert all(x["rank"] <= 2 for x in top)
@@ -78,6 +78,16 @@ def test_grid_pairs_and_nearest(spark):
         neighbours.nearest_centroid(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), most_centroids=10)
 
 
+@pytest.mark.parametrize(("lat", "lng"), [(75.0, 20.0), (-70.0, 179.9999), (89.9999, 0.0), (0.0, -180.0)])
+def test_grid_pairs_at_every_latitude(spark, lat, lng):
+    r = random.Random(11)
+    wide = 0.0012 / max(1e-3, math.cos(math.radians(lat)))
+    a, b = [[(i, min(90.0, lat + r.uniform(-0.001, 0.001)), ((lng + r.uniform(-wide, wide) + 180) % 360) - 180) for i in range(n)] for n in (40, 50)]
+    schema = "key long, lat double, lng double"
+    got = {(x["left_key"], x["right_key"]) for x in neighbours.grid_pairs(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 100.0).collect()}
+    assert got == {(p[0], q[0]) for p in a for q in b if metres(p[1:], q[1:]) <= 100} and got
+
+
 def components(nodes, edges):
     parent = {n: n for n in nodes}
 
