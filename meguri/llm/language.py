@@ -336,7 +336,8 @@ def label_texts(df: DataFrame, text: str, model: LanguageModel) -> DataFrame:
         return pd.DataFrame({"language": names, "confidence": [c if n else None for n, c in zip(names, confidence, strict=True)]})
 
     schema = T.StructType([T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType())])
-    out = F.pandas_udf(run, schema)(F.col(f"`{text}`").cast("string"))
+    # Not moved below a filter on its result, which would run it once more.
+    out = F.pandas_udf(run, schema).asNondeterministic()(F.col(f"`{text}`").cast("string"))
     helper = "_" + "_".join(df.columns)  # longer than any of the names, so none of them
     return df.withColumn(helper, out).withColumns({"language": F.col(f"`{helper}`.language"), "language_confidence": F.col(f"`{helper}`.confidence")}).drop(helper)
 
@@ -401,7 +402,8 @@ def label_pages(description: Column, paragraphs: Column, spark: SparkSession, mo
             out.append((best, round(sure[best] / weight[best], 6) if best else None, other))
         return pd.DataFrame(out, columns=["language", "confidence", "segments"])
 
-    return F.pandas_udf(run, SEGMENTS)(F.struct(description.cast("string").alias("d"), paragraphs.cast("array<string>").alias("p")))
+    # Not moved below a filter on its result, which would run it once more.
+    return F.pandas_udf(run, SEGMENTS).asNondeterministic()(F.struct(description.cast("string").alias("d"), paragraphs.cast("array<string>").alias("p")))
 
 
 def wrong_page_labels(pages: DataFrame, key: str, label: str, description: str, paragraphs: str, model: LanguageModel) -> DataFrame:

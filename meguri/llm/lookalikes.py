@@ -228,7 +228,8 @@ ASCII_ONLY = r"^[\x20-\x7E]*$"
 def plain_spelling(column: Column | str) -> Column:
     """The plain spelling of a string column. Null stays null, the empty text empty; texts are taken whole, of any length."""
     text = (F.col(column) if isinstance(column, str) else column).cast("string")
-    return F.when(text.rlike(ASCII_ONLY), text).otherwise(F.pandas_udf(_plain_series, T.StringType())(text))
+    # Not moved below a filter on its result, which would run it once more.
+    return F.when(text.rlike(ASCII_ONLY), text).otherwise(F.pandas_udf(_plain_series, T.StringType()).asNondeterministic()(text))
 
 
 def find_lookalikes(df: DataFrame, table_name: str, key: str, field: str) -> DataFrame:

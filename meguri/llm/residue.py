@@ -316,7 +316,8 @@ def _verdicts(texts: pd.Series) -> pd.DataFrame:
 def verdict(text: Column) -> Column:
     """What a text shows by itself: ``whole``, the first class of strong rule that it breaks, and ``messages``, the
     ``hash`` of each of its masked messages whose wording breaks a rule, with the class of a strong one that it breaks as it is."""
-    return F.pandas_udf(_verdicts, VERDICT)(text)
+    # Not moved below a filter on its result, which would run it once more.
+    return F.pandas_udf(_verdicts, VERDICT).asNondeterministic()(text)
 
 
 def find_residue(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", min_documents: int = MIN_DOCUMENTS, min_sources: int = MIN_SOURCES) -> DataFrame:
