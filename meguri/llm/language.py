@@ -27,8 +27,8 @@ LANGUAGES = ("ja", "en", "zh", "ko", "fr", "de", "es", "it", "pt")
 #: Where the public vocabularies lie on every machine of the cluster, and the one taken.
 DEFAULT_TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pieces longer than this many bytes are left out, so that a piece fits one machine word.
-PIECE_BYTES = 8
+#: A piece of bytes is known by its polynomial hash with this base, modulo the machine word.
+HASH_BASE = 0x9E3779B97F4A7C15
 #: Bound of the sample the model is fitted on, per language and table.
 SAMPLE_PER_LANGUAGE = 120
 #: Rounds of expected counts, and the count every piece has beforehand.
@@ -39,18 +39,27 @@ BYTES_AT_ONCE = 1 << 18
 EVIDENCE_BYTES = 60.0
 
 
+def piece_hash(piece: bytes) -> int:
+    out = 0
+    for k, byte in enumerate(reversed(piece)):
+        out += (byte + 1) * pow(HASH_BASE, k, 1 << 64)
+    return out % (1 << 64)
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The pieces of a vocabulary file as big-endian machine words, and their lengths."""
+    """The hashes of all pieces of a vocabulary file, and their lengths. No two pieces of one length may share a hash."""
     with open(path, "rb") as file:
         pieces = [base64.b64decode(line.split()[0]) for line in file if line.strip()]
-    pieces = [p for p in pieces if len(p) <= PIECE_BYTES]
-    return np.array([int.from_bytes(p, "big") for p in pieces], np.uint64), np.array([len(p) for p in pieces])
+    hashes, lengths = np.array([piece_hash(p) for p in pieces], np.uint64), np.array([len(p) for p in pieces])
+    if len(set(zip(hashes.tolist(), lengths.tolist(), strict=True))) < len(set(pieces)):
+        raise ValueError(f"pieces of {path} share a hash")
+    return hashes, lengths
 
 
 @dataclass
 class Pieces:
-    """Pieces of each length, sorted, with their rows in the table of probabilities."""
+    """Pieces of each length, sorted by hash, with their rows in the table of probabilities."""
 
     words: list[np.ndarray]
     rows: list[np.ndarray]
@@ -58,7 +67,7 @@ class Pieces:
     @classmethod
     def of(cls, words: np.ndarray, lengths: np.ndarray) -> Pieces:
         by_word, by_row = [], []
-        for n in range(1, PIECE_BYTES + 1):
+        for n in range(1, int(lengths.max(initial=0)) + 1):
             at = np.flatnonzero(lengths == n)
             at = at[np.argsort(words[at])]
             by_word.append(words[at])
@@ -69,22 +78,21 @@ class Pieces:
         """For each length, the row of the piece that ends at each byte of ``text``, or -1."""
         out = []
         word = np.zeros(len(text), np.uint64)
-        for n in range(1, PIECE_BYTES + 1):
+        power = np.uint64(1)
+        for n, (known, rows) in enumerate(zip(self.words, self.rows, strict=True), 1):
+            ids = np.full(len(text), -1, np.int32)
+            out.append(ids)
             if n > len(text):
-                out.append(np.full(len(text), -1, np.int32))
                 continue
-            # The word of the n bytes that end here: one more byte in front.
-            moved = np.zeros(len(text), np.uint64)
-            moved[n - 1 :] = text[: len(text) - n + 1]
-            word = word | (moved << np.uint64(8 * (n - 1)))
-            ids = np.full(len(text), -1, np.int32)
-            known = self.words[n - 1]
+            # The hash of the n bytes that end here: one more byte in front.
+            word[n - 1 :] += (text[: len(text) - n + 1] + np.uint64(1)) * power
+            with np.errstate(over="ignore"):
+                power = power * np.uint64(HASH_BASE)
             if len(known):
-                at = np.minimum(np.searchsorted(known, word), len(known) - 1)
-                hit = known[at] == word
-                hit[: n - 1] = False
-                ids[hit] = self.rows[n - 1][at[hit]]
-            out.append(ids)
+                here = word[n - 1 :]
+                at = np.minimum(np.searchsorted(known, here), len(known) - 1)
+                hit = known[at] == here
+                ids[n - 1 :][hit] = rows[at[hit]]
         return out
 
 
@@ -141,25 +149,26 @@ class LanguageModel:
     def likelihood(self, lengths: np.ndarray, grids: list[np.ndarray]) -> np.ndarray:
         """Forward values in a ring of the reach of one piece; their scale is taken out once a turn."""
         rows, width = grids[0].shape
-        none = len(self.p) - 1
-        ring = np.zeros((PIECE_BYTES, rows, len(self.languages)))
+        reach, none = len(grids), len(self.p) - 1
+        some = np.array([(g != none).any(axis=0) for g in grids])  # whether a piece of a length ends at a cell of any row
+        ring = np.zeros((reach, rows, len(self.languages)))
         ring[0] = 1.0
         log_scale = np.zeros(rows)
         out = np.zeros((rows, len(self.languages)))
         for i in range(1, width + 1):
             now = np.zeros((rows, len(self.languages)))
-            for n in range(1, min(PIECE_BYTES, i) + 1):
+            for n in np.flatnonzero(some[: min(reach, i), i - 1]) + 1:
                 ids = grids[n - 1][:, i - 1]
                 at = np.flatnonzero(ids != none)
                 if len(at) * 2 > rows:
-                    now += ring[(i - n) % PIECE_BYTES] * self.p[ids]
+                    now += ring[(i - n) % reach] * self.p[ids]
                 elif len(at):
-                    now[at] += ring[(i - n) % PIECE_BYTES][at] * self.p[ids[at]]
-            ring[i % PIECE_BYTES] = now
+                    now[at] += ring[(i - n) % reach][at] * self.p[ids[at]]
+            ring[i % reach] = now
             over = lengths == i
             if over.any():
                 out[over] = np.log(np.maximum(now[over], 1e-300)) + log_scale[over][:, None]
-            if i % PIECE_BYTES == 0:
+            if i % 8 == 0:
                 top = now.max(axis=1)
                 top[(top <= 0) | (lengths <= i)] = 1.0
                 ring /= top[None, :, None]
@@ -279,15 +288,17 @@ def expected_counts(model: LanguageModel, words: list[bytes], weights: np.ndarra
         forward = np.zeros((width + 1, rows, len(model.languages)))
         forward[0] = 1.0
         for i in range(1, width + 1):
-            for n in range(1, min(PIECE_BYTES, i) + 1):
+            for n in range(1, min(len(grids), i) + 1):
                 forward[i] += forward[i - n] * model.p[grids[n - 1][:, i - 1]]
         total = forward[lengths, np.arange(rows)]
         share = weights[at] / np.maximum(total, 1e-300)
         backward = np.zeros((width + 1, rows, len(model.languages)))
         backward[lengths, np.arange(rows)] = 1.0
         for i in range(width, 0, -1):
-            for n in range(1, min(PIECE_BYTES, i) + 1):
+            for n in range(1, min(len(grids), i) + 1):
                 ids = grids[n - 1][:, i - 1]
+                if (ids == len(model.p) - 1).all():
+                    continue
                 through = model.p[ids] * backward[i]
                 np.add.at(counts, ids, forward[i - n] * through * share)
                 backward[i - n] += through

@@ -210,16 +210,20 @@ def model(sf_dir):
 
 
 def test_forward_sums_all_segmentations(model):
-    words = ["ab", "the", "漁", " 港です"]
+    words = ["ab", "the", "漁", " 港です", " mountain"]
     raw = [w.encode() for w in words]
     got = model.score_words(raw)
     table = {}
     for n, (keys, rows) in enumerate(zip(model.pieces.words, model.pieces.rows, strict=True), 1):
-        table |= {int(k).to_bytes(n, "big"): r for k, r in zip(keys, rows, strict=True)}
+        table |= {(n, int(k)): r for k, r in zip(keys, rows, strict=True)}
     import numpy as np
 
+    longest = len(model.pieces.words)
+    assert longest > 8
+    row = lambda piece: table.get((len(piece), language.piece_hash(piece)))
+
     def total(b, k):
-        return 1.0 if not b else sum(model.p[table[b[:n]], k] * total(b[n:], k) for n in range(1, min(8, len(b)) + 1) if b[:n] in table)
+        return 1.0 if not b else sum(model.p[row(b[:n]), k] * total(b[n:], k) for n in range(1, min(longest, len(b)) + 1) if row(b[:n]) is not None)
 
     for i, b in enumerate(raw):
         assert np.allclose(got[i], [np.log(total(b, k)) for k in range(len(model.languages))])
