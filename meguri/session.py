@@ -38,12 +38,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) is a temporary
-    folder set.
+    Only where the session names none and runs on one machine (tests) is a
+    temporary folder set; on a cluster that would be the driver's alone, so it
+    is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="meguri-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
